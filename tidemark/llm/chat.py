@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import save
 
-MERGE, RELABEL, INSERT = 1, 2, 3
+MERGE, INSERT, RELABEL = 1, 2, 3
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
 ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "prompter": USER, "assistant": ASSISTANT, "bot": ASSISTANT, "gpt": ASSISTANT, "model": ASSISTANT}
