@@ -157,7 +157,7 @@ def shingles(h: np.ndarray, per: np.ndarray, k: int, seed: int = 0) -> tuple[np.
         if n >= k:
             got = np.unique(s[a : a + n - k + 1])
         else:
-            got = mix((h[a : a + n] * c[:n]).sum(dtype=U, keepdims=True) + c[k] * U(n))
+            got = mix((h[a : a + n] * c[:n]).sum(dtype=U, keepdims=True) + c[k : k + 1] * U(n))
         count[i] = len(got)
         out.append(got)
     return (np.concatenate(out) if out else np.zeros(0, U)), count

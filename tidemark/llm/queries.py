@@ -55,5 +55,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality, op5_bpe, op7_packing, op10_chat)}
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+def op6_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pstable import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, with the line that stands for it."""
+    from tidemark.llm.lines import fuzzy_lines
+
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op10_chat)}
 ORACLE: dict[str, str] = {}
