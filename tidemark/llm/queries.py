@@ -55,6 +55,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
+def op2_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest neighbours of every hundredth vector among all others."""
+    from tidemark.llm.mih import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minhash import near_duplicates
 
@@ -74,5 +81,5 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mih, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op10_chat)}
 ORACLE: dict[str, str] = {}
