@@ -49,6 +49,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hmm import score
+
+    return score(table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.chat import repair
 
@@ -81,5 +87,5 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mih, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mih, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op9_hmm, op10_chat)}
 ORACLE: dict[str, str] = {}
