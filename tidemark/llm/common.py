@@ -49,6 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(taken, *names: str) -> list[str]:
+    """names, each lengthened until no column in taken has it."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- hashing of texts
 
 U = np.uint64

@@ -171,11 +171,9 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
     """docs without the lines that are not kept; a document that loses every line of at least `least` bytes and has no
     other text goes as a whole, one that was blank before stays. Other columns are kept as they are."""
-    taken = {"_drop", "_k"}
-    if clash := taken & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    drop = fuzzy_lines(docs, key, text, percent, least).where("not kept").groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_set("line")).alias("_drop"))
-    joined = docs.join(drop, F.col(key) == F.col("_k"), "left")
-    cut = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    out = joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(cut))
-    return out.where(F.col("_drop").isNull() | (F.length(F.trim(F.col(text))) > 0)).select(*docs.columns)
+    gone, own = C.free(docs.columns, "gone", "own")
+    drop = fuzzy_lines(docs, key, text, percent, least).where("not kept").groupBy(F.col(key).alias(own)).agg(F.collect_set("line").alias(gone))
+    joined = docs.join(drop, F.col(key) == F.col(own), "left")
+    cut = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    out = joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(cut))
+    return out.where(F.col(gone).isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm import common as C
 
 WINDOW = 2048
 
@@ -130,35 +130,38 @@ def pack(pieces: DataFrame, window: int = WINDOW, key: str = "doc_id", bucket_ro
 
     pieces needs key, start and length (1 to window). Ranks within a length are made in two steps, so a length that a
     third of all pieces share is spread over many tasks: counts by (length, bucket) give the offsets, and a window ranks
-    the rows of a bucket. The histogram on the driver has at most `window` rows. Repeated rows are pieces of their own.
+    the rows of a bucket. The histogram on the driver has at most `window` rows. Repeated rows are pieces of their own;
+    columns named sequence_id and offset are replaced, all others kept; without pieces the result is empty.
     """
     spark = pieces.sparkSession
-    taken = {"_bucket", "_before", "_rank", "_n", "_places", "_at", "sequence_id", "offset"}
-    if clash := taken & set(pieces.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    total = pieces.count()
-    buckets = max(1, -(-total // bucket_rows))
-    placed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(key, "start"), F.lit(buckets)))
-    sizes = placed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "_bucket", "_before")
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    pieces = pieces.drop("sequence_id", "offset")
+    bucket, nth, prior, places, at = C.free(pieces.columns, "bucket", "nth", "prior", "places", "at")
+    buckets = max(1, -(-pieces.count() // bucket_rows))
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(key, "start"), F.lit(buckets)))
+    sizes = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(nth))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", bucket, F.coalesce(F.sum(nth).over(before), F.lit(0)).alias(prior))
+    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum(nth).alias("n")).collect()}
     if bad := [x for x in histogram if x is None or not 0 < x <= window]:
         raise ValueError(f"pieces of length {bad[:3]} do not fit a window of {window}")
-    places = intervals(plan(histogram, window))
     schema = "length bigint, first bigint, each bigint, sequence bigint, times bigint, at bigint"
-    by_length = spark.createDataFrame(places, schema).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "each", "sequence", "times", "at"))).alias("_places"))
-    order = Window.partitionBy("length", "_bucket").orderBy(key, "start")
+    spread = spark.createDataFrame(intervals(plan(histogram, window)), schema)
+    by_length = spread.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "each", "sequence", "at"))).alias(places))
     # two small tables, joined before they meet the pieces: one row for each (length, bucket)
     lookup = offsets.join(by_length, "length")
-    ranked = placed.withColumn("_n", F.row_number().over(order) - 1).join(lookup, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_n"))
-    # the last place that starts at or before the rank; lists are short, and sorted by their first rank
-    found = ranked.withColumn("_at", F.element_at(F.filter("_places", lambda p: p["first"] <= F.col("_rank")), -1)).withColumn("_rank", F.col("_rank") - F.col("_at.first"))
-    return found.select(*pieces.columns, (F.col("_at.sequence") + F.floor(F.col("_rank") / F.col("_at.each"))).cast("bigint").alias("sequence_id"), (F.col("_at.at") + F.col("_rank") % F.col("_at.each") * F.col("length")).cast("bigint").alias("offset"))
+    order = Window.partitionBy("length", bucket).orderBy(key, "start")
+    ranked = dealt.withColumn(nth, F.row_number().over(order) - 1).join(lookup, ["length", bucket]).withColumn(nth, F.col(prior) + F.col(nth))
+    # the last place that starts at or before the rank
+    found = ranked.withColumn(at, F.element_at(F.filter(places, lambda p: p["first"] <= F.col(nth)), -1))
+    rank = F.col(nth) - F.col(at)["first"]
+    sequence = F.col(at)["sequence"] + F.floor(rank / F.col(at)["each"])
+    place = F.col(at)["at"] + rank % F.col(at)["each"] * F.col("length")
+    return found.select(*pieces.columns, sequence.cast("bigint").alias("sequence_id"), place.cast("bigint").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, window: int = WINDOW, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenize whole texts, cut, and pack: one row per piece (see pieces_of and pack). Texts are read once and never shuffled."""
-    return pack(save(pieces_of(docs, ranks_path, pattern, key, text, window, end_id), "pieces"), window, key)
+    return pack(C.save(pieces_of(docs, ranks_path, pattern, key, text, window, end_id), "pieces"), window, key)
 
 
 def materialize(pieces_with_ids: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

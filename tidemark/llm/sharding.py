@@ -12,7 +12,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm import common as C
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -87,33 +87,33 @@ def reshard(rows: DataFrame, old_shard: Column, shards: int, key: str = "doc_id"
     size: bytes of a row, at least 1. capacity: bytes of each new shard; even by default, so shards are within about two
     rows of each other. Positions come from prefix sums in two steps, by bucket of the key and within it, so one old shard
     may hold any part of all rows. An empty table gives an empty result. Rows of equal keys are ranked by size and placed
-    one by one; null keys come first. old_shard may be null: a shard of its own.
+    one by one; null keys come first. old_shard may be null: a shard of its own. Columns of rows that are named like the
+    new ones are replaced, all others are carried along.
     """
-    taken = {"old_shard", "shard", "slot", "moved", "_bucket", "_to", "_from", "_b", "_n"}
-    if clash := taken & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    columns = rows.columns
-    dealt = rows.withColumn("old_shard", old_shard.cast("int"))
+    bucket, low, nth, lead, way = C.free([*rows.columns, "old_shard", "shard", "slot", "moved"], "bucket", "low", "nth", "lead", "way")
+    dealt = rows.withColumn(bucket, old_shard.cast("int")).drop("old_shard", "shard", "slot", "moved").withColumnRenamed(bucket, "old_shard")
+    columns = [c for c in dealt.columns if c != "old_shard"]
     total = dealt.groupBy("old_shard").agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).collect()  # one row for each old shard
     sizes = {r["old_shard"]: int(r["b"]) for r in total}
     buckets = max(1, -(-sum(r["n"] for r in total) // bucket_rows))
     capacity = capacity or even(sum(sizes.values()), shards)
     # bounded: old + new - 1 blocks at most
-    plan = rows.sparkSession.createDataFrame(blocks(sizes, capacity, cost), "o int, upto bigint, to int").groupBy("o").agg(F.array_sort(F.collect_list(F.struct("upto", "to"))).alias("_to"))
-    dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    plan = rows.sparkSession.createDataFrame(blocks(sizes, capacity, cost), "o int, upto bigint, to int").groupBy("o").agg(F.array_sort(F.collect_list(F.struct("upto", "to"))).alias(way))
+    dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)))
     prior = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = dealt.groupBy("old_shard", "_bucket").agg(F.sum(size).alias("_b"))
-    starts = starts.select(F.col("old_shard").alias("o"), F.col("_bucket").alias("k"), prior(Window.partitionBy("old_shard").orderBy("_bucket"), "_b").alias("_from"))
-    in_bucket = Window.partitionBy("old_shard", "_bucket").orderBy(key, size)
-    placed = dealt.withColumn("_b", F.sum(size).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.expr(f"({size} + 1) div 2"))
-    placed = placed.join(starts, F.col("old_shard").eqNullSafe(F.col("o")) & (F.col("_bucket") == F.col("k"))).drop("o", "k")
-    placed = placed.join(F.broadcast(plan), F.col("old_shard").eqNullSafe(F.col("o"))).drop("o")
-    placed = placed.withColumn("shard", F.element_at(F.filter("_to", lambda t: t["upto"] > F.col("_from") + F.col("_b")), 1)["to"])
-    placed = save(placed.select(*columns, "old_shard", "_bucket", "shard", F.row_number().over(Window.partitionBy("old_shard", "_bucket", "shard").orderBy(key, size)).alias("_n")), "placed")
-    counts = placed.groupBy("shard", "old_shard", "_bucket").agg(F.count(F.lit(1)).alias("_b"))
-    before = counts.select(F.col("shard").alias("s"), F.col("old_shard").alias("o"), F.col("_bucket").alias("k"), prior(Window.partitionBy("shard").orderBy("old_shard", "_bucket"), "_b").alias("_from"))
-    out = placed.join(before, (F.col("shard") == F.col("s")) & F.col("old_shard").eqNullSafe(F.col("o")) & (F.col("_bucket") == F.col("k")))
-    return out.select(*columns, "old_shard", "shard", (F.col("_from") + F.col("_n") - 1).cast("bigint").alias("slot"), (~F.col("old_shard").eqNullSafe(F.col("shard"))).alias("moved"))
+    starts = dealt.groupBy("old_shard", bucket).agg(F.sum(size).alias("b"))
+    starts = starts.select(F.col("old_shard").alias("o"), F.col(bucket).alias("k"), prior(Window.partitionBy("old_shard").orderBy(bucket), "b").alias(lead))
+    in_bucket = Window.partitionBy("old_shard", bucket).orderBy(key, size)
+    placed = dealt.withColumn(low, F.sum(size).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.floor((F.col(size) + 1) / 2))
+    placed = placed.join(starts, placed["old_shard"].eqNullSafe(starts["o"]) & (placed[bucket] == starts["k"])).drop(starts["o"], starts["k"])
+    placed = placed.join(F.broadcast(plan), placed["old_shard"].eqNullSafe(plan["o"])).drop(plan["o"])
+    placed = placed.withColumn("shard", F.element_at(F.filter(way, lambda t: t["upto"] > F.col(lead) + F.col(low)), 1)["to"])
+    in_shard = Window.partitionBy("old_shard", bucket, "shard").orderBy(key, size)
+    placed = C.save(placed.select(*columns, "old_shard", bucket, "shard", F.row_number().over(in_shard).alias(nth)), "placed")
+    counts = placed.groupBy("shard", "old_shard", bucket).agg(F.count(F.lit(1)).alias("b"))
+    before = counts.select(F.col("shard").alias("s"), F.col("old_shard").alias("o"), F.col(bucket).alias("k"), prior(Window.partitionBy("shard").orderBy("old_shard", bucket), "b").alias(lead))
+    out = placed.join(before, (placed["shard"] == before["s"]) & placed["old_shard"].eqNullSafe(before["o"]) & (placed[bucket] == before["k"]))
+    return out.select(*[placed[c] for c in columns], placed["old_shard"], placed["shard"], (F.col(lead) + F.col(nth) - 1).cast("bigint").alias("slot"), (~placed["old_shard"].eqNullSafe(placed["shard"])).alias("moved"))
 
 
 def rewrite(resharded: DataFrame, folder: str, file_rows: int = 500_000) -> list[int]:
