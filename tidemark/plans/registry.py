@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+MODULES = ("q_shape",)
 _QUERIES: dict = {}
 
 
@@ -17,4 +18,9 @@ def query(name: str, sql: str | None):
 
 
 def load() -> dict:
+    """All queries; importing their modules registers them."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"tidemark.plans.{name}")
     return dict(_QUERIES)
