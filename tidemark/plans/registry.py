@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("q_shape",)
+MODULES = ("q_shape", "q_stats")
 _QUERIES: dict = {}
 
 
