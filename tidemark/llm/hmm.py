@@ -169,8 +169,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     src = docs.select(F.col(key).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    picked = src.where(~F.col("held") & (F.octet_length("t") <= SAMPLE_BYTES)).select(F.xxhash64("id", "t").alias("h"), "t").orderBy("h", "t").limit(sample)
-    model = train_on_sample([r["t"] for r in picked.collect()], states, rounds)  # at most sample * SAMPLE_BYTES bytes
+    # keys are picked before texts are fetched, so tasks send the driver `sample` keys each and not as many texts
+    fits = ~F.col("held") & (F.octet_length("t") <= SAMPLE_BYTES)
+    picked = src.where(fits & F.col("id").isNotNull()).select(F.xxhash64("id").alias("h"), F.col("id").alias("p")).orderBy("h", "p").limit(sample).distinct()
+    texts = src.where(fits).join(F.broadcast(picked), F.col("id") == F.col("p")).select("h", "t").orderBy("h", "t").limit(sample)
+    model = train_on_sample([r["t"] for r in texts.collect()], states, rounds)  # at most sample * SAMPLE_BYTES bytes
 
     def gather(batches):
         part = TaskContext.get().partitionId()

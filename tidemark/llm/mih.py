@@ -75,7 +75,9 @@ def search(rows: DataFrame, is_query: str, key: str = "vec_id", vector: str = "e
     src = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     kind, vkind = src.schema["id"].dataType.simpleString(), src.schema["v"].dataType.simpleString()
     fine = src.where(F.col("id").isNotNull() & usable("v"))
-    picked = fine.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").to_pylist()  # bounded by `sample`
+    # keys are picked before vectors are fetched, so tasks send the driver `sample` keys each and not as many vectors
+    chosen = fine.select(F.xxhash64("id").alias("h"), F.col("id").alias("p")).orderBy("h", "p").limit(sample).select("p").distinct()
+    picked = fine.join(F.broadcast(chosen), F.col("id") == F.col("p")).limit(sample).select("v").toArrow().column("v").to_pylist()
     if not picked:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {key} {kind}, score double")
     dims = np.array([len(v) for v in picked])
