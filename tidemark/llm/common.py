@@ -33,15 +33,29 @@ def _sweep(spark: SparkSession, root: str) -> None:
         pass
 
 
+#: While set, Spark drops the shuffle files of a query when the query has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Nothing reads the shuffle files of the write once the table is there, so they go with it."""
     spark = df.sparkSession
     root = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
     if root not in _swept:
         _swept.add(root)
         atexit.register(_sweep, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,13 +1,15 @@
 """Fuzzy line dedup by MinHash: one line of each component of near-equal lines stays.
 
 Lines are normalized (A-Z to lower case, runs of white space to one space), and equal lines form one class. Signatures come
-from character shingles; bands of two minima find candidates with high recall; candidates are verified by the exact
+from character shingles; bands of three minima find candidates with high recall; candidates are verified by the exact
 Jaccard similarity of their shingle sets; distributed union-find joins them, and the first line of a component, by
 document and place, is kept.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 from tidemark.llm.linking import link
 
-#: Bytes of a shingle; minima of a band; bands. At similarity 0.8 a pair shares a band with probability 0.998.
-SHINGLE, ROWS, BANDS = 9, 2, 6
-#: Normalized lines below so many bytes (headings, list marks, blank lines) are never dropped.
+#: Bytes of a shingle; minima of a band; bands. At similarity 0.8 a pair shares a band with probability 0.997, at 0.85 with 0.9995.
+SHINGLE, ROWS, BANDS = 9, 3, 8
+#: Normalized lines below so many bytes (headings, list marks, blank lines) are never dropped. At least SHINGLE.
 LEAST = 30
 SEED = 40_009
 _FOLD = C._LOWER.copy()
@@ -42,36 +44,42 @@ def split_lines(data: np.ndarray, offsets: np.ndarray):
     follows = np.zeros(len(data), bool)
     follows[1:] = solid[:-1]
     follows[offsets[:-1][offsets[:-1] < len(data)]] = False
-    at = np.flatnonzero(~solid & follows & (data != 10))
-    signs = np.flatnonzero(solid)
-    after = np.searchsorted(signs, at)
-    at, after = at[after < len(signs)], after[after < len(signs)]
-    keep[at[signs[after] < ends[np.searchsorted(ends, at, "right")]]] = True
+    space = ~solid & follows & (data != 10)
+    inner = solid.copy()  # signs that do not begin a text
+    inner[offsets[:-1][offsets[:-1] < len(data)]] = False
+    keep[:-1] |= space[:-1] & inner[1:]
+    at = np.flatnonzero(space & ~keep)  # followed by further white space: look for the next sign
+    if len(at):
+        signs = np.flatnonzero(solid)
+        after = np.searchsorted(signs, at)
+        at, after = at[after < len(signs)], after[after < len(signs)]
+        keep[at[signs[after] < ends[np.searchsorted(ends, at, "right")]]] = True
     total = np.concatenate([[0], np.cumsum(keep)])
     size = total[ends] - total[starts]
     return low[keep], np.concatenate([[0], np.cumsum(size)]), owner, np.arange(len(owner)) - head[owner]
 
 
-def char_shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE):
-    """64-bit hashes of all k-byte shingles of each line and how many there are; a shorter line is one shingle."""
+def char_shingles(data: np.ndarray, offsets: np.ndarray, least: int, k: int = SHINGLE):
+    """64-bit hashes of all k-byte shingles of each line of at least `least` bytes, and how many each line has."""
     size = np.diff(offsets)
-    count = np.where(size >= k, size - k + 1, np.minimum(size, 1))
-    total = int(count.sum())
-    if not total:
+    count = np.where(size >= max(least, k), size - k + 1, 0)
+    if not count.any():
         return np.zeros(0, C.U), count
-    c = C.constants(k + 1, 913)
-    wide = data.astype(C.U) + C.U(1)
-    full = max(0, len(data) - k + 1)
-    s = np.zeros(len(data), C.U)
-    for j in range(k):
-        s[:full] += wide[j : j + full] * c[j]
-    first = np.cumsum(count) - count
-    at = np.arange(total) - np.repeat(first, count) + np.repeat(offsets[:-1], count)
-    out = s[at]
-    for i in np.flatnonzero((size > 0) & (size < k)):
-        piece = wide[offsets[i] : offsets[i + 1]]
-        out[first[i]] = ((piece * c[: len(piece)]).sum(dtype=C.U, keepdims=True) + c[k : k + 1] * C.U(len(piece)))[0]
-    return C.mix(out), count
+    full = len(data) - k + 1
+    # the first and the last eight bytes of a shingle, read as words at every byte
+    eight = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data).view("u1"), (len(data) - 7, 8), (1, 1))
+    words = np.ascontiguousarray(eight).view("<u8")[:, 0]
+    s = words[:full] * C.U(0x9E3779B97F4A7C15)
+    s ^= s >> C.U(32)
+    s += words[k - 8 : k - 8 + full] * C.U(0xD1342543DE82EF95)
+    s ^= s >> C.U(29)
+    s *= C.U(0xBF58476D1CE4E5B9)
+    s ^= s >> C.U(32)
+    turn = np.zeros(len(data) + 1, np.int8)  # +1 where a line's shingles begin, -1 behind its last
+    on = np.flatnonzero(count)
+    turn[offsets[:-1][on]] += 1
+    np.subtract.at(turn, offsets[:-1][on] + count[on], 1)
+    return s[np.cumsum(turn[:full], dtype=np.int8).view(bool)], count
 
 
 def minima(sets: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -95,50 +103,69 @@ def _line_parts(column: pa.Array):
 def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """id, line, size, h1, h2 (print of the normalized line), bands (null for lines below least): one row per line."""
     kind = docs.schema[key].dataType.simpleString()
-    weights = lambda seed, n: C.mix(np.arange(n, dtype=C.U) * C._ODD + C.U(seed))
 
     def run(batches):
         for batch in batches:
             for i, low, cut, owner, number in _line_parts(batch.column(1)):
-                size = np.diff(cut)
-                full = np.flatnonzero(size)
-                h = np.zeros((len(size), 2), C.U)
-                if len(full):
-                    place = np.arange(len(low)) - np.repeat(cut[:-1][full], size[full])
-                    wide = low.astype(C.U) + C.U(1)
-                    w = weights(5, int(size.max())), weights(6, int(size.max()))
-                    for b in (0, 1):
-                        h[full, b] = C.mix(np.add.reduceat(C.mix(wide * C._ODD + w[b][place]) if b else wide * w[b][place], cut[:-1][full]))
-                sets, count = char_shingles(low, cut)
-                m = minima(sets, count, ROWS * BANDS).astype(C.U)
-                bands = C.mix(C.mix(m[:, 0::ROWS] + C.U(1)) * C.U(3) + m[:, 1::ROWS] + (np.arange(BANDS, dtype=C.U) << C.U(40)))
+                size, raw, ends = np.diff(cut), low.tobytes(), cut.tolist()
+                prints = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])])
+                h = np.frombuffer(prints, np.int64).reshape(-1, 2)
+                m = minima(*char_shingles(low, cut, least), ROWS * BANDS).astype(C.U)
+                bands = np.broadcast_to(np.arange(BANDS, dtype=C.U), (len(size), BANDS))
+                for r in range(ROWS):
+                    bands = C.mix(bands * C.U(3) + m[:, r::ROWS] + C.U(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BANDS, pa.int32()), pa.array(C.as_long(bands).ravel()), mask=pa.array(size < least))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(C.as_long(h[:, 0].copy())), pa.array(C.as_long(h[:, 1].copy())), lists], ["id", "line", "size", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), lists], ["id", "line", "size", "h1", "h2", "bands"])
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """id = (id, line) and set of the lines that the column wanted (array of numbers) names; docs: id, t, wanted."""
+def line_texts(docs: DataFrame) -> DataFrame:
+    """id = (id, line) and raw (normalized bytes) of the lines that the column wanted (array of numbers) names; docs: id, t, wanted."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             wanted = batch.column(2)
             for i, low, cut, owner, number in _line_parts(batch.column(1)):
-                pick = np.zeros(len(owner), bool)
-                first = np.searchsorted(owner, np.arange(owner[-1] + 1 if len(owner) else 0))
-                for o, f in enumerate(first):
-                    pick[f + np.array(wanted[i + o].as_py(), dtype=np.int64)] = True
-                sets, count = char_shingles(low, cut)
-                ends = np.concatenate([[0], np.cumsum(count)])
-                rows = np.flatnonzero(pick)
-                values = [np.unique(sets[ends[r] : ends[r + 1]]) for r in rows]
+                raw, ends, first = low.tobytes(), cut.tolist(), np.flatnonzero(number == 0)
+                rows = np.concatenate([f + np.array(wanted[i + o].as_py(), dtype=np.int64) for o, f in enumerate(first)])
                 ids = pa.StructArray.from_arrays([batch.column(0).take(pa.array(owner[rows] + i)), pa.array(number[rows].astype(np.int32))], ["id", "line"])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32()), pa.array(C.as_long(np.concatenate(values)) if values else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, lists], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([raw[ends[r] : ends[r + 1]] for r in rows], pa.binary())], ["id", "raw"])
+
+    return docs.select("id", "t", "wanted").mapInArrow(run, f"id struct<id:{kind},line:int>, raw binary")
+
+
+def _raw_parts(column: pa.Array):
+    """Bytes and offsets of a binary column."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def raw_members(column: pa.Array):
+    """Distinct shingles of each line of a binary column, one line after the other, and how many each has."""
+    sets, count = char_shingles(*_raw_parts(column), SHINGLE)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    values = [np.unique(sets[a:b]) for a, b in zip(ends, ends[1:])]
+    return np.concatenate(values), np.array([len(v) for v in values])
+
+
+def verify_raw(edges: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Edges (x, y) whose lines have 100 * intersection >= percent * union of their shingles, compared as bytes."""
+    both = edges.join(lines.select(F.col("id").alias("x"), F.col("raw").alias("rx")), "x").join(lines.select(F.col("id").alias("y"), F.col("raw").alias("ry")), "y")
+    kind = lines.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = ({r[i : i + SHINGLE] for i in range(len(r) - SHINGLE + 1)} for r in (x, y))
+                both_ = len(a & b)
+                keep.append(100 * both_ >= percent * (len(a) + len(b) - both_))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("id", "t", "wanted").mapInArrow(run, f"id struct<id:{kind},line:int>, set array<bigint>")
+    return both.select("x", "y", "rx", "ry").mapInArrow(run, f"x {kind}, y {kind}")
 
 
 def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
@@ -149,18 +176,19 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     themselves and are kept. Of equal rows of one key only the first line in order is marked kept once for each row:
     rows of one key share their decisions. Only key and text are read, so other columns cannot clash.
     """
+    if least < SHINGLE:
+        raise ValueError(f"lines below {SHINGLE} bytes have no shingle")
     lines = C.save(line_table(docs, key, text, least), "lines")
     long_ = lines.where("bands is not null and id is not null")
     classes = C.save(long_.groupBy("h1", "h2", "size", "bands").agg(F.min(F.struct("id", "line")).alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("id"), F.col("size").cast("bigint").alias("n"), F.col("bands").alias("keys"))
+    reps = classes.select(F.col("rep").alias("id"), F.col("bands").alias("keys"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def fetch(ids: DataFrame) -> DataFrame:
         wanted = ids.groupBy(F.col("id.id").alias("id")).agg(F.collect_list("id.line").alias("wanted"))
-        return line_sets(texts.join(wanted, "id")).dropDuplicates(["id"])
+        return line_texts(texts.join(wanted, "id"))
 
-    # sizes in bytes bound set sizes only from above, so the size test of link() takes the sets' own size there
-    found = link(reps.withColumn("n", F.lit(1)), sets_of, percent)
+    found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent), "raw", raw_members, percent)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("size").alias("cs"), F.coalesce("component", "rep").alias("component"))
     out = lines.join(named, F.col("bands").isNotNull() & F.col("id").isNotNull() & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("size") == F.col("cs")), "left")
     own = F.struct("id", "line")

@@ -1,58 +1,145 @@
 """Verified links between representatives that share a bucket key, without expanding buckets into pairs.
 
 First every row of a bucket is compared with the bucket's pivot (one edge for each row), which joins a group of copies, however
-large, in linear work. Only rows of one bucket that are then still in different components are compared with each other.
-So no candidate pair is left untested unless its ends are connected already, and the components are those of all pairs.
+large, in linear work. The pivot is the row that meets most others in its buckets: in a group of edited copies the one that
+is edited least, which has the most links. Buckets whose rows are then in one component are done. Rows of the others are
+gathered by the components of what they still share, dealt into blocks, and compared block with block on their full sets
+inside a task: no pair is emitted but a link that joins two components. So no candidate pair is left untested unless its
+ends are connected already, and the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, save
+from tidemark.llm import common as C
 
+#: Rows of a block.
+BLOCK = 512
 
-def verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) whose full sets have 100 * intersection >= percent * union."""
+
+def verify_sets(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (x, y) whose full sets have 100 * intersection >= percent * union. sets: id, set (distinct longs)."""
     a = sets.select(F.col("id").alias("x"), F.col("set").alias("sx"))
     b = sets.select(F.col("id").alias("y"), F.col("set").alias("sy"))
     both = edges.join(a, "x").join(b, "y").withColumn("i", F.size(F.array_intersect("sx", "sy")))
     return both.where(100 * F.col("i") >= percent * (F.size("sx") + F.size("sy") - F.col("i"))).select("x", "y")
 
 
-def link(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, stars: int = 2) -> DataFrame:
+def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], payload: str, sets_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
     """node, component of all representatives that a verified link joins.
 
-    reps: id, n (size of its set, at least 1) and keys (array of bucket keys). sets_of(ids) gives id and set (distinct longs)
-    for a table of ids; it is asked once, for the rows that share a bucket with another.
+    reps: id and keys (array of bucket keys). fetch(ids) gives a table with id and the column `payload`; it is asked once, for the
+    rows that share a bucket with another. verify(edges, table) keeps the edges (x, y) that are links. sets_of(payload
+    column) gives the rows' distinct members, one row after the other, and how many each has.
     """
-    keyed = reps.select("id", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    members = save(keyed.join(shared, "key"), "members")
-    sets = save(sets_of(members.select("id").distinct()), "sets")
-    sized = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))  # noqa: E731  no pair beyond this can be linked
+    # one shuffle serves both the counting of keys and the rows that have them
+    keyed = reps.select("id", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "c")
+    met = C.save(keyed.join(shared, "key"), "met")
+    weight = met.groupBy("id").agg(F.sum("c").alias("w"))
+    members = C.save(met.select("key", "id").join(weight, "id"), "members")
+    full = C.save(fetch(members.select("id").distinct()), "full")
+    pivots = members.groupBy("key").agg(F.max_by("id", F.struct("w", "id")).alias("y"), F.max("w").alias("yw"))
     # one edge for each row: to the pivot that it shares most keys with
-    most = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    edges = most.groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("y")).select(F.col("id").alias("x"), "y")
-    links = save(verify(edges, sets, percent), "links")
-    for left in range(stars, 0, -1):
-        found = components(links, "x", "y")
-        named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_ = save(named.join(mixed, "key"), "open")
-        if open_.isEmpty():
-            return found
-        if left > 1:  # the components that are not the pivot's get a pivot of their own
-            rest = open_.where("label <> lo").groupBy("key").agg(F.min("id").alias("y"), F.min_by("label", "id").alias("yl"), F.min_by("n", "id").alias("yn"))
-            pairs = open_.join(rest, "key").where((F.col("label") != F.col("yl")) & sized(F.col("n"), F.col("yn"))).select(F.col("id").alias("x"), "y")
-        else:
-            a = open_.select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-            b = open_.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"))
-            pairs = a.join(b, "key").where((F.col("xl") < F.col("yl")) & sized(F.col("xn"), F.col("yn"))).select("x", "y")
-        pairs = save(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-        more = save(verify(pairs, sets, percent), "links")
-        links = links.union(more)
-    return components(links, "x", "y")
+    joint = members.join(pivots, "key").where("id <> y").groupBy("id", "y").agg(F.count(F.lit(1)).alias("k"), F.max("yw").alias("yw"))
+    edges = joint.groupBy("id").agg(F.max_by("y", F.struct("k", "yw", "y")).alias("y")).select(F.col("id").alias("x"), "y")
+    links = C.save(verify(C.save(edges, "edges"), full), "links")
+    found = C.components(links, "x", "y")
+    named = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("y")).where("lo < hi").select("key", "y")
+    open_ = C.save(named.join(mixed, "key").groupBy("id", "label", "y").agg(F.count(F.lit(1)).alias("k")), "open")
+    if open_.isEmpty():
+        return found
+    gathered = C.components(open_, "id", "y").select(F.col("node").alias("id"), F.col("component").alias("g"))
+    rows = C.save(open_.select("id", "label").distinct().join(gathered, "id"), "rows")
+    more = C.save(compare_blocks(rows, full, payload, sets_of, percent), "links")
+    return C.components(links.union(more), "x", "y")
+
+
+def compare_blocks(rows: DataFrame, full: DataFrame, payload: str, sets_of, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (x, y) between rows (id, label, g) of one g and different labels: one for each two labels in two blocks that have any.
+
+    Rows of a group's largest label are not compared with each other, so their blocks meet only those of the others; each pair
+    of blocks is a group of its own, of at most 2 * block rows."""
+    size = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = size.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("ca"), F.sum("c").alias("call"))
+    blocks = top.select("g", "major", F.ceil(F.col("ca") / block).cast("int").alias("na"), F.ceil((F.col("call") - F.col("ca")) / block).cast("int").alias("nu"))
+    dealt = rows.join(blocks, "g")
+    major = F.col("label") == F.col("major")
+    mine = F.when(major, F.pmod(F.hash("id"), "na") + F.col("nu")).otherwise(F.pmod(F.hash("id"), "nu"))
+    # blocks below nu hold the others, blocks from nu on the largest label
+    dealt = dealt.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.when(major, F.col("nu")).otherwise(F.col("nu") + F.col("na")) - 1)))
+    dealt = dealt.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "label")
+    cells = ["g", "lo", "hi"]
+    ready = dealt.join(full.select("id", payload), "id").repartition(*cells).sortWithinPartitions(*cells, "id")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for t in groups(batches, 3):
+            x, y = cross_links(t, percent, sets_of)
+            if len(x):
+                ids = t.column(4)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks(), ids.take(pa.array(y)).combine_chunks()], ["x", "y"])
+
+    return ready.select("g", "lo", "hi", "b", "id", "label", payload).mapInArrow(run, f"x {kind}, y {kind}")
+
+
+def groups(batches, keys: int):
+    """Tables of rows that agree in the first `keys` columns, from batches in which such rows follow each other."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not len(t):
+            continue
+        names = list(zip(*[t.column(i).to_pylist() for i in range(keys)]))
+        names = [repr(n) for n in names]
+        cut = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+        for a, b in zip(cut, cut[1:]):
+            if held and names[a] != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(t.slice(a, b - a))
+            last = names[a]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def cross_links(t: pa.Table, percent: int, sets_of) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links between rows of different labels: one for each pair of labels. Columns: g, lo, hi, b, id, label, payload."""
+    n = len(t)
+    label = np.unique([repr(v) for v in t.column(5).to_pylist()], return_inverse=True)[1]
+    if n < 2 or label.max() == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    members, count = sets_of(t.column(6).combine_chunks())
+    _, code, often = np.unique(members, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), count)
+    keep = often[code] > 1  # what one row alone has is in no intersection
+    row, code = row[keep], np.unique(code[keep], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    width = 4096
+    for a in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, [a, a + width])
+        m = np.zeros((n, width), np.float32)
+        m[row[lo:hi], code[lo:hi] - a] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    hit = 100 * both >= percent * (count[:, None] + count[None, :] - both)
+    lo, hi = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+    if lo != hi:
+        b = t.column(3).to_numpy()
+        hit &= b[:, None] != b[None, :]
+    x, y = np.nonzero(np.triu(hit, 1) & (label[:, None] != label[None, :]))
+    if len(x):
+        pair = np.minimum(label[x], label[y]) * n + np.maximum(label[x], label[y])
+        first = np.unique(pair, return_index=True)[1]
+        x, y = x[first], y[first]
+    return x, y

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
-from tidemark.llm.linking import link
+from tidemark.llm.linking import link, verify_sets
 
 SEED = 20_011
 
@@ -68,6 +68,11 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "t").mapInArrow(run, f"id {kind}, set array<bigint>")
 
 
+def list_members(column: pa.Array):
+    """Members of a list column, one row after the other, and how many each row has."""
+    return column.flatten().to_numpy(), column.value_lengths().to_numpy()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, collections: int = 10, rows: int = 2) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), kept (key = component_id): one row per input row.
 
@@ -80,10 +85,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     known = sig.where("n > 0 and id is not null")
     classes = C.save(known.groupBy("n", "p1", "p2", "half").agg(F.min("id").alias("rep")), "classes")
     keys = F.array(*[F.xxhash64(F.lit(i * collections + j), F.col("half")[i], F.col("half")[j]) for i in range(collections) for j in range(i + 1, collections)])
-    reps = classes.select(F.col("rep").alias("id"), "n", keys.alias("keys"))
+    reps = classes.select(F.col("rep").alias("id"), keys.alias("keys"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     # a key may have several rows: each of its sets is there to be compared
-    found = link(reps, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi"), k), percent)
+    found = link(reps, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi"), k), lambda edges, sets: verify_sets(edges, sets, percent), "set", list_members, percent)
     # nodes of several sets (repeated keys) are joined through the key as well
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("cn"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     out = sig.join(named, (F.col("id").isNotNull()) & (F.col("n") == F.col("cn")) & (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")), "left")
