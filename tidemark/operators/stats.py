@@ -37,13 +37,23 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 
 def nearest_peers(df: DataFrame, key: str, x: str, by: list[str], k: int) -> DataFrame:
-    """key, peer, rank: the k rows of a group nearest in x, ties to the smaller key. Only the k neighbours on either side of the sorted
-    group can be among them, so rows are met through their rank and no group is crossed with itself."""
-    w = Window.partitionBy(*by).orderBy(x, key)
-    d = df.where(F.col(x).isNotNull()).select(*by, key, x, F.row_number().over(w).alias("_r"))
-    near = d.withColumn("_q", F.explode(F.sequence(F.col("_r") - k, F.col("_r") + k))).where("_q <> _r")
-    other = d.select(*by, F.col("_r").alias("_q"), F.col(key).alias("peer"), F.col(x).alias("_px"))
-    pairs = near.join(other, [*by, "_q"]).withColumn("_d", F.abs(F.col(x) - F.col("_px")))
+    """key, peer, rank: the k rows of a group nearest in x, ties to the smaller key.
+
+    Only the first k rows of the same x and the k rows on either side of it can be among them, so rows are met through their
+    rank and no group is crossed with itself."""
+    d = df.where(F.col(x).isNotNull()).select(*by, key, x)
+    up, down = Window.partitionBy(*by).orderBy(x, key), Window.partitionBy(*by).orderBy(x, F.desc(key))
+    same = Window.partitionBy(*by, x)
+    d = d.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down))
+    d = d.withColumn("_first", F.min("_u").over(same)).withColumn("_last", F.max("_u").over(same)).withColumn("_low", F.min("_d").over(same))
+    spots = F.flatten(F.array(
+        F.transform(F.sequence(F.col("_first"), F.least("_last", F.col("_first") + k)), lambda i: F.struct(F.lit("u").alias("s"), i.alias("i"))),
+        F.transform(F.sequence(F.col("_last") + 1, F.col("_last") + k), lambda i: F.struct(F.lit("u").alias("s"), i.alias("i"))),
+        F.transform(F.sequence(F.col("_low") - k, F.col("_low") - 1), lambda i: F.struct(F.lit("d").alias("s"), i.alias("i"))),
+    ))
+    near = d.select(*by, key, x, F.explode(spots).alias("_p")).select(*by, key, x, "_p.s", "_p.i")
+    other = d.select(*by, F.col(key).alias("peer"), F.col(x).alias("_px"), F.explode(F.array(F.struct(F.lit("u").alias("s"), F.col("_u").alias("i")), F.struct(F.lit("d").alias("s"), F.col("_d").alias("i")))).alias("_p")).select(*by, "peer", "_px", "_p.s", "_p.i")
+    pairs = near.join(other, [*by, "s", "i"]).where(F.col("peer") != F.col(key)).withColumn("_d", F.abs(F.col(x) - F.col("_px")))
     rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("_d", "peer"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, key, "peer", "rank")
 

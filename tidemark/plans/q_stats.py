@@ -44,10 +44,10 @@ def reason_balance(spark, sf):
     return D.balance(_reasons(spark, sf))
 
 
-@query("day_panel", f"WITH p AS ({PANEL}), t AS (SELECT day, avg(t) AS t_net, count(*) AS rows FROM p GROUP BY 1) SELECT p.entity, p.day, round(energy, 6) AS energy, round(CASE WHEN rows >= 2 THEN t_net END, 6) AS t_net, p.n >= 2 AS enough FROM p LEFT JOIN t USING (day)")
+@query("day_panel", f"WITH p AS ({PANEL}), t AS (SELECT day, avg(t) AS t_net, count(*) AS rows FROM p GROUP BY 1) SELECT p.entity, p.day, round(energy, 6) AS energy, round(CASE WHEN rows >= 2 THEN t_net END, 9) AS t_net, p.n >= 2 AS enough FROM p LEFT JOIN t USING (day)")
 def day_panel(spark, sf):
     p = panel(spark, sf)
-    return D.with_daily_context(p, p.groupBy("day").agg(F.avg("t").alias("t_net"), F.count(F.lit(1)).alias("rows")), "day", "t_net", "rows", 2).select("entity", "day", *r6("energy", "t_net"), (F.col("n") >= 2).alias("enough"))
+    return D.with_daily_context(p, p.groupBy("day").agg(F.avg("t").alias("t_net"), F.count(F.lit(1)).alias("rows")), "day", "t_net", "rows", 2).select("entity", "day", *r6("energy"), F.round("t_net", 9).alias("t_net"), (F.col("n") >= 2).alias("enough"))
 
 
 @query("state_shares", f"SELECT entity, day, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (event_type = '{t}') / count(*), 6) AS share_{t}" for t in ("click", "view", "purchase")) + f" FROM (SELECT *, CAST(ts AS DATE) AS day FROM ({READINGS})) GROUP BY 1, 2")
@@ -55,9 +55,9 @@ def state_shares(spark, sf):
     return D.state_shares(readings(spark, sf).withColumn("day", F.to_date("ts")), ["entity", "day"], "event_type", ["click", "view", "purchase"]).select("entity", "day", "n", *r6("share_click", "share_view", "share_purchase"))
 
 
-@query("station_features", f"""SELECT entity, count(*) AS n, round(avg(CASE WHEN month(day) IN (12, 1, 2, 3) THEN flow END), 6) AS winter_mean, round(quantile_cont(flow, 0.95), 4) AS p95, round(avg(CASE WHEN power > 40 THEN 1.0 ELSE 0 END), 6) AS loaded_share, round(stddev_samp(flow), 6) AS sd, round(sum(flow) * 8760 / greatest(max(day) - min(day), 1) / 24, 6) AS per_year, round(quantile_cont(flow, 0.5) / greatest(max(flow), 0.1), 6) AS level FROM ({POINTS}) GROUP BY 1""")
+@query("station_features", f"""SELECT entity, count(*) AS n, round(avg(CASE WHEN month(day) IN (12, 1, 2, 3) THEN flow END), 6) AS winter_mean, round(quantile_cont(flow, 0.95), 9) AS p95, round(avg(CASE WHEN power > 40 THEN 1.0 ELSE 0 END), 6) AS loaded_share, round(stddev_samp(flow), 6) AS sd, round(sum(flow) * 8760 / greatest(max(day) - min(day), 1) / 24, 6) AS per_year, round(quantile_cont(flow, 0.5) / greatest(max(flow), 0.1), 6) AS level FROM ({POINTS}) GROUP BY 1""")
 def station_features(spark, sf):
-    return D.features(points(spark, sf), "entity", "day", "flow", "power").select("entity", "n", *r6("winter_mean", "loaded_share", "sd", "per_year", "level"), F.round("p95", 4).alias("p95"))
+    return D.features(points(spark, sf), "entity", "day", "flow", "power").select("entity", "n", *r6("winter_mean", "loaded_share", "sd", "per_year", "level"), F.round("p95", 9).alias("p95"))
 
 
 @query("monthly_p95_slope", f"WITH m AS (SELECT entity, year(day) * 12 + month(day) AS m, quantile_cont(flow, 0.95) AS p FROM ({POINTS}) GROUP BY 1, 2) SELECT entity, count(*) AS months, round(CASE WHEN count(*) >= 6 THEN regr_slope(p, m) END, 6) AS slope FROM m GROUP BY 1")
@@ -93,9 +93,9 @@ def robust_z_reference(spark, sf):
     return S.robust_z(daily(spark, sf), "mean_v", ["day"], member=F.col("entity") % 5 != 0, least=5, fallback_std=False).select("entity", "day", *r6("z"))
 
 
-@query("quantile_bands", f"SELECT day, count(*) AS n, " + ", ".join(f"round(CASE WHEN count(*) >= 5 THEN quantile_cont(mean_v, {q}) END, 6) AS {n}" for n, q in (("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9), ("best", 0.125))) + f" FROM ({DAILY}) GROUP BY 1")
+@query("quantile_bands", f"SELECT day, count(*) AS n, " + ", ".join(f"round(CASE WHEN count(*) >= 5 THEN quantile_cont(mean_v, {q}) END, 9) AS {n}" for n, q in (("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9), ("best", 0.125))) + f" FROM ({DAILY}) GROUP BY 1")
 def quantile_bands(spark, sf):
-    return D.bands(daily(spark, sf), ["day"], "mean_v", {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "best": 0.125}, 5).select("day", "n", *r6("q10", "q25", "q50", "q75", "q90", "best"))
+    return D.bands(daily(spark, sf), ["day"], "mean_v", {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "best": 0.125}, 5).select("day", "n", *[F.round(c, 9).alias(c) for c in ("q10", "q25", "q50", "q75", "q90", "best")])
 
 
 WINTER = f"w AS (SELECT *, CASE WHEN month(day) = 12 THEN printf('%02d/%02d', year(day) % 100, (year(day) + 1) % 100) WHEN month(day) IN (1, 2) THEN printf('%02d/%02d', (year(day) - 1) % 100, year(day) % 100) ELSE '' END AS winter FROM ({POINTS})), k AS (SELECT entity, winter, count(*) AS n, avg(flow) AS level, avg(spread) AS spread FROM w WHERE winter <> '' GROUP BY 1, 2)"
@@ -160,15 +160,15 @@ def theil_sen(spark, sf):
 CURVE = f"c AS (SELECT flag, (floor(spread / 2) + 0.5) * 2 AS x_mid, median(flow) AS y_mid, count(*) AS n FROM ({POINTS}) GROUP BY 1, 2 HAVING count(*) >= 8)"
 
 
-@query("class_curve", f"WITH {CURVE} SELECT flag, x_mid, round(y_mid, 6) AS y_mid, n FROM c")
+@query("class_curve", f"WITH {CURVE} SELECT flag, x_mid, round(y_mid, 9) AS y_mid, n FROM c")
 def class_curve(spark, sf):
-    return S.class_curve(points(spark, sf), ["flag"], "spread", "flow").select("flag", "x_mid", *r6("y_mid"), "n")
+    return S.class_curve(points(spark, sf), ["flag"], "spread", "flow").select("flag", "x_mid", F.round("y_mid", 9).alias("y_mid"), "n")
 
 
-@query("curve_expectation", f"WITH {CURVE}, p AS (SELECT flag, l_orderkey, l_linenumber, spread, flow FROM ({POINTS})), s AS (SELECT *, lead(x_mid) OVER (PARTITION BY flag ORDER BY x_mid) AS x2, lead(y_mid) OVER (PARTITION BY flag ORDER BY x_mid) AS y2, first_value(x_mid) OVER (PARTITION BY flag ORDER BY x_mid) AS x0 FROM c) SELECT l_orderkey, l_linenumber, round(flow, 6) AS flow, round(CASE WHEN p.spread < x0 OR x2 IS NULL THEN y_mid ELSE y_mid + (y2 - y_mid) * (p.spread - x_mid) / (x2 - x_mid) END, 6) AS expected FROM p JOIN s ON p.flag = s.flag AND ((p.spread >= x_mid AND (x2 IS NULL OR p.spread < x2)) OR (p.spread < x0 AND x_mid = x0))")
+@query("curve_expectation", f"WITH {CURVE}, p AS (SELECT flag, l_orderkey, l_linenumber, spread, flow FROM ({POINTS})), s AS (SELECT *, lead(x_mid) OVER (PARTITION BY flag ORDER BY x_mid) AS x2, lead(y_mid) OVER (PARTITION BY flag ORDER BY x_mid) AS y2, first_value(x_mid) OVER (PARTITION BY flag ORDER BY x_mid) AS x0 FROM c) SELECT l_orderkey, l_linenumber, round(flow, 6) AS flow, round(CASE WHEN p.spread < x0 OR x2 IS NULL THEN y_mid ELSE y_mid + (y2 - y_mid) * (p.spread - x_mid) / (x2 - x_mid) END, 9) AS expected FROM p JOIN s ON p.flag = s.flag AND ((p.spread >= x_mid AND (x2 IS NULL OR p.spread < x2)) OR (p.spread < x0 AND x_mid = x0))")
 def curve_expectation(spark, sf):
     p = points(spark, sf)
-    return S.curve_value(p, S.class_curve(p, ["flag"], "spread", "flow"), ["flag"], "spread").select("l_orderkey", "l_linenumber", *r6("flow", "expected"))
+    return S.curve_value(p, S.class_curve(p, ["flag"], "spread", "flow"), ["flag"], "spread").select("l_orderkey", "l_linenumber", *r6("flow"), F.round("expected", 9).alias("expected"))
 
 
 @query("weather_decomposition", f"SELECT entity, count(*) AS n, round(CASE WHEN count(*) >= 30 AND var_pop(15 - t * 100) > 0 THEN regr_intercept(energy, 15 - t * 100) END, 6) AS base, round(CASE WHEN count(*) >= 30 AND var_pop(15 - t * 100) > 0 THEN regr_slope(energy, 15 - t * 100) END, 6) AS slope FROM ({PANEL}) GROUP BY 1")
