@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("q_shape", "q_stats", "q_monitor", "q_misc")
+MODULES = ("q_shape", "q_stats", "q_monitor", "q_misc", "q_profiles")
 _QUERIES: dict = {}
 
 
