@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-try:
-    import public_tokenizers as tokenizers
-except ImportError:  # the vocabulary files are a parameter of the machine
-    tokenizers = None
-
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 24 shards of near-equal bytes. The old layout is 16 shards by source; a source may be hot."""
@@ -37,12 +32,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
     from tidemark.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
     from tidemark.llm.packing import pack_documents
 
     out = pack_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
@@ -88,4 +87,16 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_mih, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op9_hmm, op10_chat)}
-ORACLE: dict[str, str] = {}
+_LINKED = """r AS (SELECT id, id AS x FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.x), m AS (SELECT id, min(x) AS component_id FROM r GROUP BY 1)"""
+
+#: The exact results; the other operators are learned, solved or encoded, and tested against brute force instead.
+ORACLE = {
+    "op3_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+n AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+u AS (SELECT id, unnest(s) AS x FROM n), c AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * i >= 80 * (len(p.s) + len(q.s) - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), {_LINKED}
+SELECT n.id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, n.id = component_id AS kept FROM n JOIN m USING (id)""",
+    "op6_pstable": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.93), k AS (SELECT a, count(*) AS c FROM e GROUP BY 1), {_LINKED}
+SELECT n.id AS vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, component_id, n.id = component_id AS kept FROM n JOIN m USING (id) LEFT JOIN k ON k.a = n.id""",
+}
