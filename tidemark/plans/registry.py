@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("q_shape", "q_stats", "q_monitor", "q_misc", "q_profiles")
+MODULES = ("q_shape", "q_stats", "q_monitor", "q_misc", "q_profiles", "q_seasons")
 _QUERIES: dict = {}
 
 
