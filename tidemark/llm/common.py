@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,29 @@ def _sweep(spark: SparkSession, root: str) -> None:
         pass
 
 
-#: While set, Spark drops the shuffle files of a query when the query has ended.
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a scratch table is written. Spark drops the shuffle files of a query when the query has ended; batches to
+#: Python are small, because a row may hold a long text and several tasks share an executor's memory.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with some changed, and as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def save(df: DataFrame, name: str = "t") -> DataFrame:
@@ -47,15 +69,8 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
         _swept.add(root)
         atexit.register(_sweep, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
-    try:
+    with settings(spark, WRITING):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_TIDY)
-        else:
-            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,8 +98,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Texts are hashed in pieces of about so many bytes, which bounds the working memory.
-PIECE = 1 << 20
+#: Texts are hashed in pieces of about so many bytes, which bounds the working memory and keeps it in the cache.
+PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
