@@ -15,22 +15,23 @@ def by_month(df: DataFrame, day: str, before: int = 0, after: int = 0, out: str
 def hit_test(cases: DataFrame, alarms: DataFrame, observed: DataFrame, key: str = "entity", day: str = "day", before: int = 7, after: int = 60, least_days: int = 1) -> DataFrame:
     """case key and day, hit (the case has an alarm in its window), controls, control_hits and control_rate.
 
-    Controls are the other entities that were observed on at least least_days days of the window and have no case of their own
-    in it. Windows are met by 32-day buckets, and counts are aggregated by case before anything is joined again."""
+    Controls are the entities that were observed on at least least_days days of the window and have no case of their own in it
+    (before and after are not negative, so the case itself is never among them). They depend on the case's day alone, so
+    everything is counted once for each distinct day, through 32-day buckets, and joined to the cases last."""
+    if before < 0 or after < 0:
+        raise ValueError("the window must hold the case's own day")
     c = cases.select(F.col(key).alias("case_key"), F.col(day).alias("case_day")).distinct()
-    win = by_month(c, "case_day", before, after)
-    inside = lambda d: F.datediff(d, "case_day").between(-before, after)
+    win = by_month(c.select("case_day").distinct(), "case_day", before, after)
 
     def seen(t: DataFrame, name: str) -> DataFrame:
         t = by_month(t.select(F.col(key).alias("e"), F.col(day).alias("d")).distinct(), "d")
-        return win.join(t, "_m").where(inside("d")).groupBy("case_key", "case_day", "e").agg(F.countDistinct("d").alias(name))
+        return win.join(t, "_m").where(F.datediff("d", "case_day").between(-before, after)).groupBy("case_day", "e").agg(F.count(F.lit(1)).alias(name))
 
     alarmed, watched, own = seen(alarms, "a"), seen(observed, "o").where(F.col("o") >= least_days), seen(cases, "v")
-    ids = ["case_key", "case_day", "e"]
-    hits = alarmed.where("e = case_key").select("case_key", "case_day", F.lit(True).alias("hit"))
-    controls = watched.where("e <> case_key").join(own, ids, "left_anti").join(alarmed, ids, "left")
-    rate = controls.groupBy("case_key", "case_day").agg(F.count(F.lit(1)).alias("controls"), F.count("a").alias("control_hits"))
-    out = c.join(hits, ["case_key", "case_day"], "left").join(rate, ["case_key", "case_day"], "left")
+    ids = ["case_day", "e"]
+    rate = watched.join(own, ids, "left_anti").join(alarmed, ids, "left").groupBy("case_day").agg(F.count(F.lit(1)).alias("controls"), F.count("a").alias("control_hits"))
+    hits = alarmed.select("case_day", F.col("e").alias("case_key"), F.lit(True).alias("hit"))
+    out = c.join(hits, ["case_key", "case_day"], "left").join(rate, "case_day", "left")
     n = F.coalesce("controls", F.lit(0))
     return out.select("case_key", "case_day", F.coalesce("hit", F.lit(False)).alias("hit"), n.alias("controls"), F.coalesce("control_hits", F.lit(0)).alias("control_hits"), F.try_divide(F.col("control_hits").cast("double"), F.col("controls")).alias("control_rate"))
 
@@ -42,23 +43,24 @@ def hit_balance(tested: DataFrame, least_controls: int = 1) -> DataFrame:
 
 
 def sides(panel: DataFrame, cases: DataFrame, value: str, key: str = "entity", day: str = "day", days: int = 30, gap: int = 0, least: int = 3) -> DataFrame:
-    """case, entity, before, after: means of value on the days up to `days` before and after each case, for every entity of the panel that has
-    at least `least` values on both sides."""
-    c = by_month(cases.select(F.col(key).alias("case_key"), F.col(day).alias("case_day")).distinct(), "case_day", days + gap, days + gap)
-    p = by_month(panel.where(F.col(value).isNotNull()), day)
+    """case_day, entity, before, after: means of value on the days up to `days` before and after each distinct case day, for every entity of the
+    panel that has at least `least` values on both sides."""
+    c = by_month(cases.select(F.col(day).alias("case_day")).distinct(), "case_day", days + gap, days + gap)
+    p = by_month(panel.where(F.col(value).isNotNull()).select(key, day, value), day)
     d = F.datediff(day, "case_day")
     m = c.join(p, "_m").withColumn("_pre", d.between(-days - gap, -gap - 1)).withColumn("_post", d.between(gap + 1, days + gap)).where("_pre or _post")
-    g = m.groupBy("case_key", "case_day", key).agg(*[F.avg(F.when(F.col(s), F.col(value))).alias(n) for s, n in (("_pre", "before"), ("_post", "after"))], *[F.count(F.when(F.col(s), 1)).alias(f"n{s}") for s in ("_pre", "_post")])
+    g = m.groupBy("case_day", key).agg(*[F.avg(F.when(F.col(s), F.col(value))).alias(n) for s, n in (("_pre", "before"), ("_post", "after"))], *[F.count(F.when(F.col(s), 1)).alias(f"n{s}") for s in ("_pre", "_post")])
     return g.where((F.col("n_pre") >= least) & (F.col("n_post") >= least)).drop("n_pre", "n_post")
 
 
 def diff_in_diff(panel: DataFrame, cases: DataFrame, value: str, key: str = "entity", day: str = "day", days: int = 30, gap: int = 0, least: int = 3, least_controls: int = 5) -> DataFrame:
-    """case_key, case_day, change, control_change (median of entities that never were a case), controls, effect; effect is NULL with too few controls."""
+    """case_key, case_day, change, control_change (median of entities that never were a case), controls, effect; effect is NULL with too few controls.
+    Both sides depend on the case's day and the entity alone, so they are summed once for each distinct day."""
     s = sides(panel, cases, value, key, day, days, gap, least).withColumn("_d", F.col("after") - F.col("before"))
-    own = s.where(F.col(key) == F.col("case_key")).select("case_key", "case_day", F.col("_d").alias("change"))
-    treated = cases.select(key).distinct()
-    ctl = s.join(treated, key, "left_anti").groupBy("case_key", "case_day").agg(F.percentile("_d", F.lit(0.5)).alias("control_change"), F.count(F.lit(1)).alias("controls"))
-    out = own.join(ctl, ["case_key", "case_day"], "left").withColumn("controls", F.coalesce("controls", F.lit(0)))
+    c = cases.select(F.col(key).alias("case_key"), F.col(day).alias("case_day")).distinct()
+    own = c.join(s.select("case_day", F.col(key).alias("case_key"), F.col("_d").alias("change")), ["case_key", "case_day"])
+    ctl = s.join(cases.select(key).distinct(), key, "left_anti").groupBy("case_day").agg(F.percentile("_d", F.lit(0.5)).alias("control_change"), F.count(F.lit(1)).alias("controls"))
+    out = own.join(ctl, "case_day", "left").withColumn("controls", F.coalesce("controls", F.lit(0)))
     return out.withColumn("effect", F.when(F.col("controls") >= least_controls, F.col("change") - F.col("control_change")))
 
 
