@@ -59,22 +59,26 @@ def split_lines(data: np.ndarray, offsets: np.ndarray):
     return low[keep], np.concatenate([[0], np.cumsum(size)]), owner, np.arange(len(owner)) - head[owner]
 
 
-def char_shingles(data: np.ndarray, offsets: np.ndarray, least: int, k: int = SHINGLE):
-    """64-bit hashes of all k-byte shingles of each line of at least `least` bytes, and how many each line has."""
+def char_shingles(data: np.ndarray, offsets: np.ndarray, least: int, k: int = SHINGLE, short: bool = False):
+    """64-bit hashes (32-bit ones if short) of all k-byte shingles of each line of at least `least` bytes, and how many each line has."""
     size = np.diff(offsets)
     count = np.where(size >= max(least, k), size - k + 1, 0)
     if not count.any():
-        return np.zeros(0, C.U), count
+        return np.zeros(0, np.uint32 if short else C.U), count
     full = len(data) - k + 1
     # the first and the last eight bytes of a shingle, read as words at every byte
     eight = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data).view("u1"), (len(data) - 7, 8), (1, 1))
     words = np.ascontiguousarray(eight).view("<u8")[:, 0]
     s = words[:full] * C.U(0x9E3779B97F4A7C15)
-    s ^= s >> C.U(32)
-    s += words[k - 8 : k - 8 + full] * C.U(0xD1342543DE82EF95)
-    s ^= s >> C.U(29)
-    s *= C.U(0xBF58476D1CE4E5B9)
-    s ^= s >> C.U(32)
+    if short:  # the upper half of a sum of products depends on every byte
+        s += words[k - 8 : k - 8 + full] * C.U(0xD1342543DE82EF95)
+        s = (s >> C.U(32)).astype(np.uint32)
+    else:
+        s ^= s >> C.U(32)
+        s += words[k - 8 : k - 8 + full] * C.U(0xD1342543DE82EF95)
+        s ^= s >> C.U(29)
+        s *= C.U(0xBF58476D1CE4E5B9)
+        s ^= s >> C.U(32)
     turn = np.zeros(len(data) + 1, np.int8)  # +1 where a line's shingles begin, -1 behind its last
     on = np.flatnonzero(count)
     turn[offsets[:-1][on]] += 1
@@ -87,9 +91,8 @@ def minima(sets: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     full = np.flatnonzero(count)
     if len(full):
         first = (np.cumsum(count) - count)[full]
-        low = sets.astype(np.uint32)
         for j, a in enumerate(C.constants(n, SEED)):
-            out[full, j] = np.minimum.reduceat(low * np.uint32(a & C.U(0xFFFFFFFF)), first)
+            out[full, j] = np.minimum.reduceat(sets * np.uint32(a & C.U(0xFFFFFFFF)), first)
     return out
 
 
@@ -100,40 +103,41 @@ def _line_parts(column: pa.Array):
         yield i, low, cut, owner, number
 
 
+BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+
+
 def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """id, line, size, h1, h2 (print of the normalized line), bands (null for lines below least): one row per line."""
+    """id, line, size, node (64-bit print of the normalized line), b0, b1, ... (bands; null for lines below least): one row per line."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i, low, cut, owner, number in _line_parts(batch.column(1)):
                 size, raw, ends = np.diff(cut), low.tobytes(), cut.tolist()
-                prints = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])])
-                h = np.frombuffer(prints, np.int64).reshape(-1, 2)
-                m = minima(*char_shingles(low, cut, least), ROWS * BANDS).astype(C.U)
+                prints = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends, ends[1:])])
+                m = minima(*char_shingles(low, cut, least, short=True), ROWS * BANDS).astype(C.U)
                 bands = np.broadcast_to(np.arange(BANDS, dtype=C.U), (len(size), BANDS))
                 for r in range(ROWS):
                     bands = C.mix(bands * C.U(3) + m[:, r::ROWS] + C.U(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * BANDS, pa.int32()), pa.array(C.as_long(bands).ravel()), mask=pa.array(size < least))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), lists], ["id", "line", "size", "h1", "h2", "bands"])
+                short = size < least
+                columns = [pa.array(C.as_long(bands[:, i]), mask=short) for i in range(BANDS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.frombuffer(prints, np.int64)), *columns], ["id", "line", "size", "node", *BAND_COLUMNS])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, h1 bigint, h2 bigint, bands array<bigint>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, node bigint, " + ", ".join(f"{b} bigint" for b in BAND_COLUMNS))
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
-    """id = (id, line) and raw (normalized bytes) of the lines that the column wanted (array of numbers) names; docs: id, t, wanted."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """id (node) and raw (normalized bytes) of the lines that the column wanted (array of (line, node)) names; docs: t, wanted."""
 
     def run(batches):
         for batch in batches:
-            wanted = batch.column(2)
-            for i, low, cut, owner, number in _line_parts(batch.column(1)):
-                raw, ends, first = low.tobytes(), cut.tolist(), np.flatnonzero(number == 0)
-                rows = np.concatenate([f + np.array(wanted[i + o].as_py(), dtype=np.int64) for o, f in enumerate(first)])
-                ids = pa.StructArray.from_arrays([batch.column(0).take(pa.array(owner[rows] + i)), pa.array(number[rows].astype(np.int32))], ["id", "line"])
-                yield pa.RecordBatch.from_arrays([ids, pa.array([raw[ends[r] : ends[r + 1]] for r in rows], pa.binary())], ["id", "raw"])
+            wanted = batch.column(1)
+            for i, low, cut, owner, number in _line_parts(batch.column(0)):
+                raw, ends, first = low.tobytes(), cut.tolist(), np.flatnonzero(number == 0).tolist()
+                picks = [(f + w["line"], w["node"]) for o, f in enumerate(first) for w in wanted[i + o].as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in picks], pa.int64()), pa.array([raw[ends[r] : ends[r + 1]] for r, _ in picks], pa.binary())], ["id", "raw"])
 
-    return docs.select("id", "t", "wanted").mapInArrow(run, f"id struct<id:{kind},line:int>, raw binary")
+    return docs.select("t", "wanted").mapInArrow(run, "id bigint, raw binary")
 
 
 def _raw_parts(column: pa.Array):
@@ -154,18 +158,20 @@ def raw_members(column: pa.Array):
 def verify_raw(edges: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Edges (x, y) whose lines have 100 * intersection >= percent * union of their shingles, compared as bytes."""
     both = edges.join(lines.select(F.col("id").alias("x"), F.col("raw").alias("rx")), "x").join(lines.select(F.col("id").alias("y"), F.col("raw").alias("ry")), "y")
-    kind = lines.schema["id"].dataType.simpleString()
 
     def run(batches):
+        last, b = None, set()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = ({r[i : i + SHINGLE] for i in range(len(r) - SHINGLE + 1)} for r in (x, y))
+                a = {x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)}
+                if y != last:  # rows of one pivot mostly follow each other
+                    last, b = y, {y[i : i + SHINGLE] for i in range(len(y) - SHINGLE + 1)}
                 both_ = len(a & b)
                 keep.append(100 * both_ >= percent * (len(a) + len(b) - both_))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "rx", "ry").mapInArrow(run, f"x {kind}, y {kind}")
+    return both.select("x", "y", "rx", "ry").mapInArrow(run, "x bigint, y bigint")
 
 
 def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
@@ -179,21 +185,32 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     if least < SHINGLE:
         raise ValueError(f"lines below {SHINGLE} bytes have no shingle")
     lines = C.save(line_table(docs, key, text, least), "lines")
-    long_ = lines.where("bands is not null and id is not null")
-    classes = C.save(long_.groupBy("h1", "h2", "size", "bands").agg(F.min(F.struct("id", "line")).alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("id"), F.col("bands").alias("keys"))
+    long_ = F.col("b0").isNotNull() & F.col("id").isNotNull()
+    reps = lines.where(long_).select("node", *BAND_COLUMNS).distinct().select(F.col("node").alias("id"), F.array(*BAND_COLUMNS).alias("keys"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    # places in order of documents, as one number where the key is one
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole:
+        place = F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("line")
+        doc_of = lambda p: F.floor(p / F.lit(2**31).cast("decimal(11,0)")).cast(docs.schema[key].dataType)
+        line_of = lambda p: F.pmod(p, F.lit(2**31).cast("decimal(11,0)")).cast("int")
+    else:
+        place = F.struct("id", "line")
+        doc_of, line_of = (lambda p: p["id"]), (lambda p: p["line"])
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = ids.groupBy(F.col("id.id").alias("id")).agg(F.collect_list("id.line").alias("wanted"))
+        one = lines.where(long_).select("node", "id", "line").join(ids.withColumnRenamed("id", "node"), "node").groupBy("node").agg(F.min(place).alias("p"))
+        wanted = one.select(doc_of(F.col("p")).alias("id"), F.struct(line_of(F.col("p")).alias("line"), "node").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
         return line_texts(texts.join(wanted, "id"))
 
-    found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent), "raw", raw_members, percent)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("size").alias("cs"), F.coalesce("component", "rep").alias("component"))
-    out = lines.join(named, F.col("bands").isNotNull() & F.col("id").isNotNull() & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("size") == F.col("cs")), "left")
-    own = F.struct("id", "line")
-    out = out.withColumn("first", F.coalesce("component", own))
-    return out.select(F.col("id").alias(key), "line", "size", F.col("first.id").alias("first_doc"), F.col("first.line").alias("first_line"), F.col("first").eqNullSafe(own).alias("kept"))
+    found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent), "raw", raw_members, percent).withColumnRenamed("node", "linked")
+    named = lines.select("id", "line", "size", F.when(long_, F.col("node")).alias("node")).join(found, F.col("node") == F.col("linked"), "left").select("id", "line", "size", F.coalesce("component", "node").alias("c"))
+    first = named.where("c is not null").groupBy("c").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("fc"), "p")
+    out = named.join(first, F.col("c") == F.col("fc"), "left")
+    alone = F.col("p").isNull()
+    out = out.select("id", "line", "size", F.when(alone, F.col("id")).otherwise(doc_of(F.col("p"))).alias("first_doc"), F.when(alone, F.col("line")).otherwise(line_of(F.col("p"))).alias("first_line"))
+    kept = F.col("first_doc").eqNullSafe(F.col("id")) & (F.col("first_line") == F.col("line"))
+    return out.select(F.col("id").alias(key), "line", "size", "first_doc", "first_line", kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:

@@ -49,7 +49,8 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
     # one edge for each row: to the pivot that it shares most keys with
     joint = members.join(pivots, "key").where("id <> y").groupBy("id", "y").agg(F.count(F.lit(1)).alias("k"), F.max("yw").alias("yw"))
     edges = joint.groupBy("id").agg(F.max_by("y", F.struct("k", "yw", "y")).alias("y")).select(F.col("id").alias("x"), "y")
-    links = C.save(verify(C.save(edges, "edges"), full), "links")
+    edges = C.save(edges, "edges")
+    links = C.save(verify(edges, full), "links")
     found = C.components(links, "x", "y")
     named = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("y")).where("lo < hi").select("key", "y")
@@ -58,6 +59,10 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
         return found
     gathered = C.components(open_, "id", "y").select(F.col("node").alias("id"), F.col("component").alias("g"))
     rows = C.save(open_.select("id", "label").distinct().join(gathered, "id"), "rows")
+    # most groups are two rows that have been compared above and are no link
+    twos = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("c = 2")
+    tested = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rows = C.save(rows.join(twos.join(tested, ["x", "y"]).select("g").distinct(), "g", "left_anti"), "rows")
     more = C.save(compare_blocks(rows, full, payload, sets_of, percent), "links")
     return C.components(links.union(more), "x", "y")
 
@@ -118,28 +123,43 @@ def cross_links(t: pa.Table, percent: int, sets_of) -> tuple[np.ndarray, np.ndar
     if n < 2 or label.max() == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     members, count = sets_of(t.column(6).combine_chunks())
-    _, code, often = np.unique(members, return_inverse=True, return_counts=True)
+    code = np.unique(members, return_inverse=True)[1]
     row = np.repeat(np.arange(n), count)
-    keep = often[code] > 1  # what one row alone has is in no intersection
-    row, code = row[keep], np.unique(code[keep], return_inverse=True)[1]
+    alive = np.ones(n, bool)
+    while True:
+        # what one row alone has is in no intersection; a row that is left with too little has no partner here
+        often = np.bincount(code, minlength=1)
+        keep = often[code] > 1
+        row, code = row[keep], code[keep]
+        stays = alive & (100 * np.bincount(row, minlength=n) >= percent * count)
+        if (stays == alive).all():
+            break
+        alive = stays
+        keep = alive[row]
+        row, code = row[keep], code[keep]
+    if alive.sum() < 2 or (label[alive] == label[alive][0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.unique(code, return_inverse=True)[1]
+    spot = np.cumsum(alive) - 1
+    rows_left, row = np.flatnonzero(alive), spot[row]
+    b, lo, hi = t.column(3).to_numpy()[alive], t.column(1)[0].as_py(), t.column(2)[0].as_py()
+    n, label, count = len(rows_left), label[alive], count[alive]
     both = np.zeros((n, n), np.float32)
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
-    width = 4096
-    for a in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        lo, hi = np.searchsorted(code, [a, a + width])
+    top, width = int(code[-1]) + 1, min(4096, int(code[-1]) + 1)
+    for a in range(0, top, width):
+        i, j = np.searchsorted(code, [a, a + width])
         m = np.zeros((n, width), np.float32)
-        m[row[lo:hi], code[lo:hi] - a] = 1
+        m[row[i:j], code[i:j] - a] = 1
         both += m @ m.T
     both = both.astype(np.int64)
     hit = 100 * both >= percent * (count[:, None] + count[None, :] - both)
-    lo, hi = t.column(1)[0].as_py(), t.column(2)[0].as_py()
     if lo != hi:
-        b = t.column(3).to_numpy()
         hit &= b[:, None] != b[None, :]
     x, y = np.nonzero(np.triu(hit, 1) & (label[:, None] != label[None, :]))
     if len(x):
-        pair = np.minimum(label[x], label[y]) * n + np.maximum(label[x], label[y])
+        pair = np.minimum(label[x], label[y]) * np.int64(label.max() + 1) + np.maximum(label[x], label[y])
         first = np.unique(pair, return_index=True)[1]
         x, y = x[first], y[first]
-    return x, y
+    return rows_left[x], rows_left[y]
