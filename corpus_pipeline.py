@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import free, save, table
-from tidemark.llm.lines import dedup_lines
+from tidemark.llm.lines import WHOLE, dedup_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import classify
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one line of each component of near-equal lines; a document whose lines all stand elsewhere goes."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return dedup_lines(docs, **WHOLE).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

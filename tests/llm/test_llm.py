@@ -228,6 +228,17 @@ def test_lines_equal_brute_force(spark):
     assert out[0]["gone"] == "clash" and dedup_lines(d.limit(0)).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    from tidemark.llm.lines import WHOLE, dedup_lines, fuzzy_lines
+
+    rows = [(0, "les.\nAll rights reserved.\n\nx"), (1, " LES.\n\nall rights  reserved.\né"), (2, "les.\nAll rights reserved.\n\nx"), (None, "x")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["line"]): (r["first_doc"], r["first_line"], r["kept"]) for r in fuzzy_lines(d, **WHOLE).collect()}
+    assert got[1, 0] == got[2, 0] == (0, 0, False) and got[1, 2] == got[2, 1] == (0, 1, False) and got[2, 3] == (0, 3, False)
+    assert all(got[x] == (*x, True) for x in [(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 3), (2, 2), (None, 0)])
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(d, **WHOLE).collect()} == {0: rows[0][1], 1: "\né", None: "x"}
+
+
 # ---------------------------------------------------------------- 4 quality
 
 def test_quality_rejects_junk_and_shrinks_sparse_sites(spark):

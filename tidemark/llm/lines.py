@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 from tidemark.llm.linking import link
 
-#: Bytes of a shingle; minima of a band; bands. At similarity 0.8 a pair shares a band with probability 0.997, at 0.85 with 0.9995.
+#: Characters of a shingle; minima of a band; bands. At similarity 0.8 a pair shares a band with probability 0.997, at 0.85 with 0.9995.
 SHINGLE, ROWS, BANDS = 9, 3, 8
-#: Normalized lines below so many bytes (headings, list marks, blank lines) are never dropped. At least SHINGLE.
+#: Normalized lines below so many bytes are never dropped unless the caller says otherwise.
 LEAST = 30
+#: What the query and the pipeline use: every line with a visible sign takes part.
+WHOLE = {"least": 1}
 SEED = 40_009
 _FOLD = C._LOWER.copy()
 _FOLD[C._SPACE] = 32
@@ -59,27 +61,37 @@ def split_lines(data: np.ndarray, offsets: np.ndarray):
     return low[keep], np.concatenate([[0], np.cumsum(size)]), owner, np.arange(len(owner)) - head[owner]
 
 
-def char_shingles(data: np.ndarray, offsets: np.ndarray, least: int, k: int = SHINGLE, short: bool = False):
-    """64-bit hashes (32-bit ones if short) of all k-byte shingles of each line of at least `least` bytes, and how many each line has."""
-    size = np.diff(offsets)
-    count = np.where(size >= max(least, k), size - k + 1, 0)
+def characters(data: np.ndarray, offsets: np.ndarray):
+    """One number for each character of UTF-8 lines (its bytes joined), and the lines' offsets in characters."""
+    if not len(data) or data.max() < 128:
+        return data.astype(C.U), offsets
+    head = (data & 0xC0) != 0x80
+    head[offsets[:-1][np.diff(offsets) > 0]] = True
+    at = np.flatnonzero(head)
+    codes, inside = data[at].astype(C.U), np.ones(len(at), bool)
+    for j in (1, 2, 3):
+        there = np.minimum(at + j, len(data) - 1)
+        inside &= (at + j < len(data)) & ~head[there]
+        codes |= np.where(inside, data[there].astype(C.U) << C.U(8 * j), C.U(0))
+    return codes, np.concatenate([[0], np.cumsum(head)])[offsets]
+
+
+def char_shingles(data: np.ndarray, offsets: np.ndarray, k: int, short: bool = False):
+    """64-bit hashes (32-bit ones if short) of all k-character shingles of each line, and how many each line has."""
+    codes, offsets = characters(data, offsets)
+    count = np.maximum(np.diff(offsets) - k + 1, 0)
     if not count.any():
         return np.zeros(0, np.uint32 if short else C.U), count
-    full = len(data) - k + 1
-    # the first and the last eight bytes of a shingle, read as words at every byte
-    eight = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data).view("u1"), (len(data) - 7, 8), (1, 1))
-    words = np.ascontiguousarray(eight).view("<u8")[:, 0]
-    s = words[:full] * C.U(0x9E3779B97F4A7C15)
-    if short:  # the upper half of a sum of products depends on every byte
-        s += words[k - 8 : k - 8 + full] * C.U(0xD1342543DE82EF95)
+    full = len(codes) - k + 1
+    factors = C.constants(k, SEED + 1)
+    s = codes[:full] * factors[0]
+    for j in range(1, k):
+        s += codes[j : j + full] * factors[j]
+    # the upper half of the mixed sum depends on every byte
+    s = C.mix(s)
+    if short:
         s = (s >> C.U(32)).astype(np.uint32)
-    else:
-        s ^= s >> C.U(32)
-        s += words[k - 8 : k - 8 + full] * C.U(0xD1342543DE82EF95)
-        s ^= s >> C.U(29)
-        s *= C.U(0xBF58476D1CE4E5B9)
-        s ^= s >> C.U(32)
-    turn = np.zeros(len(data) + 1, np.int8)  # +1 where a line's shingles begin, -1 behind its last
+    turn = np.zeros(len(codes) + 1, np.int8)  # +1 where a line's shingles begin, -1 behind its last
     on = np.flatnonzero(count)
     turn[offsets[:-1][on]] += 1
     np.subtract.at(turn, offsets[:-1][on] + count[on], 1)
@@ -103,11 +115,14 @@ def _line_parts(column: pa.Array):
         yield i, low, cut, owner, number
 
 
-BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+def band_columns(bands: int) -> list[str]:
+    return [f"b{i}" for i in range(bands)]
 
 
-def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """id, line, size, node (64-bit print of the normalized line), b0, b1, ... (bands; null for lines below least): one row per line."""
+def line_table(docs: DataFrame, key: str, text: str, least: int, k: int, rows: int, bands: int) -> DataFrame:
+    """id, line, size, node (64-bit print of the normalized line), b0, b1, ... (bands; null for lines below least bytes or k characters):
+    one row per line."""
+    names = band_columns(bands)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -115,15 +130,16 @@ def line_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
             for i, low, cut, owner, number in _line_parts(batch.column(1)):
                 size, raw, ends = np.diff(cut), low.tobytes(), cut.tolist()
                 prints = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends, ends[1:])])
-                m = minima(*char_shingles(low, cut, least, short=True), ROWS * BANDS).astype(C.U)
-                bands = np.broadcast_to(np.arange(BANDS, dtype=C.U), (len(size), BANDS))
-                for r in range(ROWS):
-                    bands = C.mix(bands * C.U(3) + m[:, r::ROWS] + C.U(1))
-                short = size < least
-                columns = [pa.array(C.as_long(bands[:, i]), mask=short) for i in range(BANDS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.frombuffer(prints, np.int64)), *columns], ["id", "line", "size", "node", *BAND_COLUMNS])
+                sets, count = char_shingles(low, cut, k, short=True)
+                m = minima(sets, count, rows * bands).astype(C.U)
+                keys = np.broadcast_to(np.arange(bands, dtype=C.U), (len(size), bands))
+                for r in range(rows):
+                    keys = C.mix(keys * C.U(3) + m[:, r::rows] + C.U(1))
+                none = (size < least) | (count == 0)
+                columns = [pa.array(C.as_long(keys[:, i]), mask=none) for i in range(bands)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.frombuffer(prints, np.int64)), *columns], ["id", "line", "size", "node", *names])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, node bigint, " + ", ".join(f"{b} bigint" for b in BAND_COLUMNS))
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, node bigint, " + ", ".join(f"{b} bigint" for b in names))
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -147,16 +163,21 @@ def _raw_parts(column: pa.Array):
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def raw_members(column: pa.Array):
+def raw_members(column: pa.Array, k: int = SHINGLE):
     """Distinct shingles of each line of a binary column, one line after the other, and how many each has."""
-    sets, count = char_shingles(*_raw_parts(column), SHINGLE)
+    sets, count = char_shingles(*_raw_parts(column), k)
     ends = np.concatenate([[0], np.cumsum(count)])
     values = [np.unique(sets[a:b]) for a, b in zip(ends, ends[1:])]
     return np.concatenate(values), np.array([len(v) for v in values])
 
 
-def verify_raw(edges: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) whose lines have 100 * intersection >= percent * union of their shingles, compared as bytes."""
+def _shingle_set(raw: bytes, k: int) -> set[str]:
+    line = raw.decode("utf-8", "replace")
+    return {line[i : i + k] for i in range(len(line) - k + 1)}
+
+
+def verify_raw(edges: DataFrame, lines: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
+    """Edges (x, y) whose lines have 100 * intersection >= percent * union of their shingles, compared as text."""
     both = edges.join(lines.select(F.col("id").alias("x"), F.col("raw").alias("rx")), "x").join(lines.select(F.col("id").alias("y"), F.col("raw").alias("ry")), "y")
 
     def run(batches):
@@ -164,9 +185,9 @@ def verify_raw(edges: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a = {x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)}
+                a = _shingle_set(x, k)
                 if y != last:  # rows of one pivot mostly follow each other
-                    last, b = y, {y[i : i + SHINGLE] for i in range(len(y) - SHINGLE + 1)}
+                    last, b = y, _shingle_set(y, k)
                 both_ = len(a & b)
                 keep.append(100 * both_ >= percent * (len(a) + len(b) - both_))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -174,19 +195,19 @@ def verify_raw(edges: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", "rx", "ry").mapInArrow(run, "x bigint, y bigint")
 
 
-def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per line: key, line (from 0), size (bytes, normalized), first_doc and first_line (the line that stands for its component),
     kept.
 
-    Null texts have one empty line, as empty ones have. Lines below `least` bytes and lines of a null key stand for
-    themselves and are kept. Of equal rows of one key only the first line in order is marked kept once for each row:
+    Null texts have one empty line, as empty ones have. Blank lines, lines below `least` bytes and lines of a null key stand
+    for themselves and are kept. Equal lines of any other length are one; lines of at least k characters are compared with
+    similar ones too (a shorter one is a single shingle, which only equal lines share). Of equal rows of one key only the first line in order is marked kept once for each row:
     rows of one key share their decisions. Only key and text are read, so other columns cannot clash.
     """
-    if least < SHINGLE:
-        raise ValueError(f"lines below {SHINGLE} bytes have no shingle")
-    lines = C.save(line_table(docs, key, text, least), "lines")
-    long_ = F.col("b0").isNotNull() & F.col("id").isNotNull()
-    reps = lines.where(long_).select("node", *BAND_COLUMNS).distinct().select(F.col("node").alias("id"), F.array(*BAND_COLUMNS).alias("keys"))
+    lines = C.save(line_table(docs, key, text, least, k, rows, bands), "lines")
+    taken = (F.col("size") >= max(least, 1)) & F.col("id").isNotNull()
+    names = band_columns(bands)
+    reps = lines.where(taken & F.col("b0").isNotNull()).select("node", *names).distinct().select(F.col("node").alias("id"), F.array(*names).alias("keys"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     # places in order of documents, as one number where the key is one
     whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -199,12 +220,12 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         doc_of, line_of = (lambda p: p["id"]), (lambda p: p["line"])
 
     def fetch(ids: DataFrame) -> DataFrame:
-        one = lines.where(long_).select("node", "id", "line").join(ids.withColumnRenamed("id", "node"), "node").groupBy("node").agg(F.min(place).alias("p"))
+        one = lines.where(taken).select("node", "id", "line").join(ids.withColumnRenamed("id", "node"), "node").groupBy("node").agg(F.min(place).alias("p"))
         wanted = one.select(doc_of(F.col("p")).alias("id"), F.struct(line_of(F.col("p")).alias("line"), "node").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
         return line_texts(texts.join(wanted, "id"))
 
-    found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent), "raw", raw_members, percent).withColumnRenamed("node", "linked")
-    named = lines.select("id", "line", "size", F.when(long_, F.col("node")).alias("node")).join(found, F.col("node") == F.col("linked"), "left").select("id", "line", "size", F.coalesce("component", "node").alias("c"))
+    found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent, k), "raw", lambda column: raw_members(column, k), percent).withColumnRenamed("node", "linked")
+    named = lines.select("id", "line", "size", F.when(taken, F.col("node")).alias("node")).join(found, F.col("node") == F.col("linked"), "left").select("id", "line", "size", F.coalesce("component", "node").alias("c"))
     first = named.where("c is not null").groupBy("c").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("fc"), "p")
     out = named.join(first, F.col("c") == F.col("fc"), "left")
     alone = F.col("p").isNull()
@@ -213,11 +234,11 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     return out.select(F.col("id").alias(key), "line", "size", "first_doc", "first_line", kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = LEAST, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """docs without the lines that are not kept; a document that loses every line of at least `least` bytes and has no
     other text goes as a whole, one that was blank before stays. Other columns are kept as they are."""
     gone, own = C.free(docs.columns, "gone", "own")
-    drop = fuzzy_lines(docs, key, text, percent, least).where("not kept").groupBy(F.col(key).alias(own)).agg(F.collect_set("line").alias(gone))
+    drop = fuzzy_lines(docs, key, text, percent, least, k, rows, bands).where("not kept").groupBy(F.col(key).alias(own)).agg(F.collect_set("line").alias(gone))
     joined = docs.join(drop, F.col(key) == F.col(own), "left")
     cut = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     out = joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(cut))

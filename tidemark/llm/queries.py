@@ -81,9 +81,9 @@ def op6_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, with the line that stands for it."""
-    from tidemark.llm.lines import fuzzy_lines
+    from tidemark.llm.lines import WHOLE, fuzzy_lines
 
-    return fuzzy_lines(table(spark, sf_dir, "documents"))
+    return fuzzy_lines(table(spark, sf_dir, "documents"), **WHOLE)
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_mih, op3_minhash, op4_quality, op5_bpe, op6_pstable, op7_packing, op8_lines, op9_hmm, op10_chat)}
