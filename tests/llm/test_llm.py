@@ -239,6 +239,27 @@ def test_short_lines_take_part(spark):
     assert {r["doc_id"]: r["text"] for r in dedup_lines(d, **WHOLE).collect()} == {0: rows[0][1], 1: "\né", None: "x"}
 
 
+def test_edited_short_lines_are_linked(spark):
+    from tidemark.llm.lines import WHOLE, fuzzy_lines
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéüß") for _ in range(n))
+    rows = []
+    for i in range(60):
+        # 49 characters on with one changed character, 81 on with one changed four-letter word
+        size = 50 + i % 40 if i < 40 else 84 + i % 6
+        line = ""
+        while len(line) < size:
+            line += word(4) + " "
+        line = line[:size].strip().ljust(size, "q")
+        at = 5 * (size // 10)
+        new = line[: at + 1] + "7" + line[at + 2 :] if i < 40 else line[:at] + "7777" + line[at + 4 :]
+        rows += [(2 * i, line), (2 * i + 1, new)]
+    got = {x["doc_id"]: x["first_doc"] for x in fuzzy_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **WHOLE).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(60))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 38 and sum(got[2 * i + 1] == 2 * i for i in range(40, 60)) >= 19
+
+
 # ---------------------------------------------------------------- 4 quality
 
 def test_quality_rejects_junk_and_shrinks_sparse_sites(spark):

@@ -22,8 +22,10 @@ from tidemark.llm.linking import link
 SHINGLE, ROWS, BANDS = 9, 3, 8
 #: Normalized lines below so many bytes are never dropped unless the caller says otherwise.
 LEAST = 30
-#: What the query and the pipeline use: every line with a visible sign takes part.
-WHOLE = {"least": 1}
+#: What the query and the pipeline use: every line with a visible sign takes part, and shingles of five characters, so that one changed
+#: character links lines from 49 characters on. Unrelated lines share more of these than of longer ones, so a band has six minima;
+#: a pair at similarity 0.8 shares one of the 19 bands with probability 0.997.
+WHOLE = {"least": 1, "k": 5, "rows": 6, "bands": 19}
 SEED = 40_009
 _FOLD = C._LOWER.copy()
 _FOLD[C._SPACE] = 32
