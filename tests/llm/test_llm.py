@@ -386,6 +386,22 @@ def test_hmm_forward_is_exact_and_training_helps(docs, texts, spark):
     assert (nothing.train_tokens == 0).all() and (nothing.n_known == 0).all()
 
 
+def test_hmm_trains_on_every_text(spark):
+    from tidemark.llm import hmm
+
+    texts = [prose(40, i) for i in range(320)] + [prose(4000, 999)]  # more texts than the sample once held, and one beyond 8,192 bytes
+    model, likelihoods = hmm.train(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), 2, 3)
+    ids, per = hmm.encode(*hmm.C.string_parts(hmm.pa.array(texts)))
+    kinds = (ids >> hmm.C.U(hmm.HASH_BITS)).astype(np.int64)
+    want, seen = hmm.Model.first(np.bincount(kinds, minlength=hmm.CLASSES + 1), 2), []
+    for _ in range(3):
+        *counts, likelihood = hmm.expected_and_likelihood(want, kinds, per)
+        want = hmm.Model.from_counts(*counts)
+        seen.append(likelihood)
+    assert likelihoods == pytest.approx(seen, rel=1e-4) and likelihoods == sorted(likelihoods)
+    assert np.allclose(model.emit, want.emit, rtol=1e-2, atol=1e-5) and np.allclose(model.move, want.move, atol=1e-3)
+
+
 # ---------------------------------------------------------------- 10 chat
 
 def conversation(rows):

@@ -3,14 +3,16 @@
 A word belongs to a class that its own bytes decide (its last three), so classes need no vocabulary and their number is
 fixed. Hidden states emit classes, and a class emits its words by smoothed counts of the whole training corpus:
 P(text) = sum over state paths of prod P(state | state before) P(class | state), times prod P(word | class).
-Baum-Welch starts on a bounded sample; then expected counts of every training document are gathered in each partition,
-summed by class, and give the states' final parameters. The scaled forward recursion over the whole text gives its
+Every round of Baum-Welch goes over all training documents: expected counts are gathered in each partition and summed by
+class, and give the states' next parameters. The scaled forward recursion over the whole text gives its
 exact likelihood. Words, counts and classes of each chunk of texts travel as rows keyed by word, so no vocabulary is ever
 held in one place: a chunk gets back the counts of its own words only.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +25,8 @@ from tidemark.llm import common as C
 CLASS_BITS, HASH_BITS = 12, 52
 CLASSES = 1 << CLASS_BITS
 END = CLASSES  # the class of the end token, which is its only member
-STATES, SAMPLE, SAMPLE_BYTES, ROUNDS, SEED = 6, 300, 8192, 12, 90_001
+STATES, ROUNDS, SEED = 6, 12, 90_001
+LOG = logging.getLogger(__name__)
 #: Bytes of text that are worked on at once.
 CHUNK = 10 << 20
 #: Weight, in tokens, of the class shares of all states together when a state's own are estimated.
@@ -63,9 +66,9 @@ class Model:
 
     @staticmethod
     def first(seen: np.ndarray, states: int) -> Model:
-        """States that differ by chance about the class shares of the sample."""
+        """States that differ by chance about the class shares of the corpus (seen: how often each class occurs)."""
         rng = np.random.default_rng(SEED)
-        share = (np.bincount(seen, minlength=CLASSES + 1) + 0.5) * rng.uniform(0.5, 1.5, size=(states, CLASSES + 1))
+        share = (seen + 0.5) * rng.uniform(0.5, 1.5, size=(states, CLASSES + 1))
         move = rng.uniform(0.9, 1.1, size=(states, states)) + 4 * np.eye(states)
         return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), share / share.sum(axis=1, keepdims=True))
 
@@ -106,10 +109,15 @@ def forward(model: Model, kinds: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 def expected(model: Model, kinds: np.ndarray, per: np.ndarray):
     """Baum-Welch counts (start, move, emit) of class sequences with their ends."""
+    return expected_and_likelihood(model, kinds, per)[:3]
+
+
+def expected_and_likelihood(model: Model, kinds: np.ndarray, per: np.ndarray):
+    """start, move and emit counts, and the natural log-likelihood of all sequences together."""
     k = len(model.start)
     start, move, emit_n = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES + 1))
     if not len(per):
-        return start, move, emit_n
+        return start, move, emit_n, 0.0
     _, active, off, seen = by_time(kinds, per)
     emit, step = np.ascontiguousarray(model.emit.T.astype(np.float32)), model.move.astype(np.float32)
     alpha = np.empty((len(seen), k), np.float32)
@@ -122,6 +130,7 @@ def expected(model: Model, kinds: np.ndarray, per: np.ndarray):
         scale[o : o + n] = s
         a /= s[:, None]
         alpha[o : o + n] = a
+    likelihood = float(np.log(scale, dtype=np.float64).sum())
     back = step.T.copy()
     b = np.ones((active[-1], k), np.float32)
     for t in range(len(active) - 1, -1, -1):
@@ -136,17 +145,71 @@ def expected(model: Model, kinds: np.ndarray, per: np.ndarray):
     start += alpha[: active[0]].sum(axis=0)
     for s in range(k):
         emit_n[s] = np.bincount(seen, weights=alpha[:, s], minlength=CLASSES + 1)
-    return start, move * model.move, emit_n
+    return start, move * model.move, emit_n, likelihood
 
 
-def train_on_sample(texts: list[str], states: int, rounds: int) -> Model:
-    data, offsets = C.string_parts(pa.array(texts, pa.string()))
-    ids, per = encode(data, offsets)
-    kinds = (ids >> C.U(HASH_BITS)).astype(np.int64)
-    model = Model.first(kinds, states)
-    for _ in range(rounds if len(per) else 0):
-        model = Model.from_counts(*expected(model, kinds, per))
-    return model
+def sequences(batches, words: int = CHUNK // 6):
+    """(classes, lengths) of about `words` words each from batches of a binary column of 16-bit classes."""
+    held, n = [], 0
+    for batch in batches:
+        for value in batch.column(0):
+            x = np.frombuffer(value.as_py(), "<u2")
+            if held and n + len(x) > words:
+                yield np.concatenate(held).astype(np.int64), np.array([len(h) for h in held])
+                held, n = [], 0
+            held.append(x)
+            n += len(x)
+    if held:
+        yield np.concatenate(held).astype(np.int64), np.array([len(h) for h in held])
+
+
+def train(texts: DataFrame, states: int, rounds: int) -> tuple[Model, list[float]]:
+    """The model after `rounds` rounds of Baum-Welch over every text (column t), and the natural log-likelihood of all texts by the
+    model that each round began with. The driver sees sums of classes + states + 3 rows for each round."""
+
+    def classes(batches):
+        for batch in batches:
+            data, offsets = C.string_parts(batch.column(0))
+            for i, j in C.pieces(offsets, CHUNK):
+                ids, per = encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                kinds, ends = (ids >> C.U(HASH_BITS)).astype("<u2"), np.concatenate([[0], np.cumsum(per)])
+                yield pa.RecordBatch.from_arrays([pa.array([kinds[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["kinds"])
+
+    table = C.save(texts.select("t").mapInArrow(classes, "kinds binary"), "kinds")
+    names = np.concatenate([[-1], -2 - np.arange(states), np.arange(CLASSES + 1), [CLASSES + 1]]).astype(np.int32)
+    columns = [f"s{s}" for s in range(states)]
+
+    def total(step):
+        """Sums over all sequences of step(classes, lengths) -> start, move, emit, likelihood; None without any."""
+
+        def run(batches):
+            own = None
+            for kinds, per in sequences(batches):
+                got = step(kinds, per)
+                own = got if own is None else [a + b for a, b in zip(own, got)]
+            if own is not None:
+                start, move, emit, likelihood = own
+                rows = np.vstack([start[None], move, emit.T, np.full((1, states), likelihood)])
+                yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(rows[:, s].copy()) for s in range(states)]], ["c", *columns])
+
+        sums = table.mapInArrow(run, "c int, " + ", ".join(f"{c} double" for c in columns)).groupBy("c").agg(*[F.sum(c).alias(c) for c in columns])
+        rows = {r["c"]: np.array(r[1:]) for r in sums.collect()}
+        if not rows:
+            return None
+        return rows[-1], np.vstack([rows[-2 - s] for s in range(states)]), np.vstack([rows[c] for c in range(CLASSES + 1)]).T, float(rows[CLASSES + 1][0])
+
+    def count(kinds, per):
+        seen = np.bincount(kinds, minlength=CLASSES + 1).astype(float)
+        return np.zeros(states), np.zeros((states, states)), np.broadcast_to(seen, (states, CLASSES + 1)), 0.0
+
+    seen = total(count)
+    model, likelihoods = Model.first(np.zeros(CLASSES + 1) if seen is None else seen[2][0], states), []
+    for i in range(rounds if seen is not None else 0):
+        *counts, likelihood = total(lambda kinds, per, model=model: expected_and_likelihood(model, kinds, per))
+        model = Model.from_counts(*counts)
+        likelihoods.append(likelihood)
+        LOG.info("Baum-Welch round %d: log-likelihood %.6g", i + 1, likelihood)
+    return model, likelihoods
 
 
 def chunks(batches, size: int = CHUNK):
@@ -157,23 +220,18 @@ def chunks(batches, size: int = CHUNK):
             yield batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", states: int = STATES, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """key, held_out, n_tokens (words and the end), n_known (tokens seen in training), train_tokens, base_score, score: one row per input row.
 
     held_out marks the rows that nothing is learned from (null: learned from). base_score is the smoothed unigram model's
     log10 probability, score the hidden Markov model's; a word that training has not seen is its class's unknown word.
     Null texts are empty: their end token alone. Repeated rows are learned from and scored as often as they occur; null
-    keys are keys. Only the named columns are read. The initial fit takes at most `sample` training texts of at most
-    SAMPLE_BYTES bytes; the counts take all.
+    keys are keys. Only the named columns are read. Each of the `rounds` rounds of Baum-Welch takes all training texts.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(key).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    # keys are picked before texts are fetched, so tasks send the driver `sample` keys each and not as many texts
-    fits = ~F.col("held") & (F.octet_length("t") <= SAMPLE_BYTES)
-    picked = src.where(fits & F.col("id").isNotNull()).select(F.xxhash64("id").alias("h"), F.col("id").alias("p")).orderBy("h", "p").limit(sample).distinct()
-    texts = src.where(fits).join(F.broadcast(picked), F.col("id") == F.col("p")).select("h", "t").orderBy("h", "t").limit(sample)
-    model = train_on_sample([r["t"] for r in texts.collect()], states, rounds)  # at most sample * SAMPLE_BYTES bytes
+    model, _ = train(src.where(~F.col("held")), states, rounds)
 
     def gather(batches):
         part = TaskContext.get().partitionId()
@@ -184,34 +242,16 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             taught = np.repeat(learn, per)
             vocabulary, local = np.unique(words, return_inverse=True)
             count = np.bincount(local[taught], minlength=len(vocabulary)).astype("<u4")
-            got = expected(model, (words[taught] >> C.U(HASH_BITS)).astype(np.int64), per[learn])
             local = local.astype("<u4")
             ends = np.concatenate([[0], np.cumsum(per)])
             n = len(per)
             codes = [local[ends[i] : ends[i + 1]].tobytes() for i in range(n)]
             nothing = pa.nulls(n, pa.binary())
-            names = ["chunk", "id", "held", "codes", "words", "counts", "stats"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids_, held_, pa.array(codes, pa.binary()), nothing, nothing, nothing], names)
-            stats = np.concatenate([x.ravel() for x in got]).astype("<f8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, ids_.type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary()), pa.array([stats], pa.binary())], names)
-
-    table = C.save(src.mapInArrow(gather, f"chunk bigint, id {kind}, held boolean, codes binary, words binary, counts binary, stats binary"), "chunks")
+            names = ["chunk", "id", "held", "codes", "words", "counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids_, held_, pa.array(codes, pa.binary()), nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, ids_.type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names)
 
-    def by_class(batches):
-        """Start and move counts under classes of their own, -1 and -2 - state; emit counts under theirs."""
-        k = states
-        for batch in batches:
-            for value in batch.column(0):
-                x = np.frombuffer(value.as_py(), "<f8")
-                names = np.concatenate([[-1], -2 - np.arange(k), np.arange(CLASSES + 1)])
-                rows = np.vstack([x[:k][None], x[k : k + k * k].reshape(k, k), x[k + k * k :].reshape(k, -1).T])
-                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32))] + [pa.array(rows[:, s].copy()) for s in range(k)], ["c", *[f"s{s}" for s in range(k)]])
-
-    sums = table.where("stats is not null").select("stats").mapInArrow(by_class, "c int, " + ", ".join(f"s{s} double" for s in range(states)))
-    total = sums.groupBy("c").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).collect()  # classes + states + 2 rows
-    if total:
-        rows = {r["c"]: np.array(r[1:]) for r in total}
-        model = Model.from_counts(rows[-1], np.vstack([rows[-2 - s] for s in range(states)]), np.vstack([rows[c] for c in range(CLASSES + 1)]).T)
+    table = C.save(src.mapInArrow(gather, f"chunk bigint, id {kind}, held boolean, codes binary, words binary, counts binary"), "chunks")
 
     def unpack(batches):
         for batch in batches:
