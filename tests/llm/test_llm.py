@@ -115,6 +115,20 @@ def test_rewrite_leaves_untouched_shards(spark, tmp_path):
     assert back.count() == 200 and {r[0] for r in back.select("shard").distinct().collect()} == {1, 2}
 
 
+def test_rewrite_in_place_keeps_untouched_shards(spark, tmp_path):
+    from tidemark.llm.sharding import reshard, rewrite
+
+    at = str(tmp_path / "o")
+    # 0 and 3 stay as they are, 1 gives to 2, and 7 and the null shard lose all they have
+    home = F.when(F.col("id") < 100, 0).when(F.col("id") < 250, 1).when(F.col("id") < 270, 2).when(F.col("id") < 290, 7).when(F.col("id") < 300, None).otherwise(3)
+    spark.range(400).select(F.col("id").alias("doc_id"), F.lit(10).cast("bigint").alias("size"), home.alias("shard")).write.partitionBy("shard").parquet(at)
+    plan = reshard(spark.read.parquet(at).withColumnRenamed("shard", "home"), F.col("home"), 4)
+    assert rewrite(plan, at, file_rows=60) == [1, 2, 7]
+    back = spark.read.parquet(at)
+    assert sorted(r[0] for r in back.select("doc_id").collect()) == list(range(400))
+    assert {r[0]: r[1] for r in back.groupBy("shard").count().collect()} == {0: 100, 1: 100, 2: 100, 3: 100}
+
+
 # ---------------------------------------------------------------- 2 and 6 vectors
 
 @pytest.fixture(scope="module")

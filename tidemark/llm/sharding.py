@@ -117,10 +117,17 @@ def reshard(rows: DataFrame, old_shard: Column, shards: int, key: str = "doc_id"
 
 
 def rewrite(resharded: DataFrame, folder: str, file_rows: int = 500_000) -> list[int]:
-    """Write the shards that gain or lose a row to folder/shard=N, in slot order; shards without a change are left alone.
-    Returns the shards written (as many as there are shards at most). Each file holds file_rows rows."""
-    changed = resharded.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    ids = sorted(r["s"] for r in changed.collect() if r["s"] is not None)
-    rows = resharded.where(F.col("shard").isin(ids)).withColumn("_file", F.floor(F.col("slot") / file_rows))
-    rows.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    """Write the shards that gain or lose a row to folder/shard=N, in slot order; shards without a change are left alone, and the
+    folders of shards that lost their last row are removed. folder may be the one that resharded is read from. Returns the
+    shards changed (as many as there are shards at most). Each file holds file_rows rows."""
+    spark = resharded.sparkSession
+    changed = {r["s"] for r in resharded.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()}
+    ids = sorted(s for s in changed if s is not None)
+    # the rows may come from the folder itself, so they are saved before it changes
+    rows = C.save(resharded.where(F.col("shard").isin(ids)).withColumn("_file", F.floor(F.col("slot") / file_rows)), "rewrite")
+    filled = {r["shard"] for r in rows.select("shard").distinct().collect()}
+    rows.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    for s in changed - filled:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={'__HIVE_DEFAULT_PARTITION__' if s is None else s}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return ids
