@@ -367,6 +367,18 @@ def test_packing_holds_every_id_once(docs, texts):
     assert pack_documents(docs.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.packing import pieces_of
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n é", "<|endoftext |> <|endoftext", "a  \n<|endoftext|>  b"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in pieces_of(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)} and 50256 in got[0]
+
+
 # ---------------------------------------------------------------- 9 language model
 
 def test_hmm_forward_is_exact_and_training_helps(docs, texts, spark):
