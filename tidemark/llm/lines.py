@@ -66,16 +66,25 @@ def split_lines(data: np.ndarray, offsets: np.ndarray):
 def characters(data: np.ndarray, offsets: np.ndarray):
     """One number for each character of UTF-8 lines (its bytes joined), and the lines' offsets in characters."""
     if not len(data) or data.max() < 128:
-        return data.astype(C.U), offsets
+        return data.astype(np.uint32), offsets
     head = (data & 0xC0) != 0x80
     head[offsets[:-1][np.diff(offsets) > 0]] = True
-    at = np.flatnonzero(head)
-    codes, inside = data[at].astype(C.U), np.ones(len(at), bool)
-    for j in (1, 2, 3):
-        there = np.minimum(at + j, len(data) - 1)
-        inside &= (at + j < len(data)) & ~head[there]
-        codes |= np.where(inside, data[there].astype(C.U) << C.U(8 * j), C.U(0))
-    return codes, np.concatenate([[0], np.cumsum(head)])[offsets]
+    codes = data.astype(np.uint32)
+    # the few bytes that continue a character are put to the byte that begins it
+    rest = np.flatnonzero(~head)
+    first = np.flatnonzero(head)
+    owner = first[np.searchsorted(first, rest) - 1]
+    np.bitwise_or.at(codes, owner, codes[rest] << (8 * np.minimum(rest - owner, 3)).astype(np.uint32))
+    return codes[head], np.concatenate([[0], np.cumsum(head)])[offsets]
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words whose output bits all depend on all input bits."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
 
 
 def char_shingles(data: np.ndarray, offsets: np.ndarray, k: int, short: bool = False):
@@ -86,13 +95,17 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray, k: int, short: bool = F
         return np.zeros(0, np.uint32 if short else C.U), count
     full = len(codes) - k + 1
     factors = C.constants(k, SEED + 1)
-    s = codes[:full] * factors[0]
-    for j in range(1, k):
-        s += codes[j : j + full] * factors[j]
-    # the upper half of the mixed sum depends on every byte
-    s = C.mix(s)
     if short:
-        s = (s >> C.U(32)).astype(np.uint32)
+        s = codes[:full] * np.uint32(factors[0] >> C.U(32))
+        for j in range(1, k):
+            s += codes[j : j + full] * np.uint32(factors[j] >> C.U(32))
+        s = mix32(s)
+    else:
+        codes = codes.astype(C.U)
+        s = codes[:full] * factors[0]
+        for j in range(1, k):
+            s += codes[j : j + full] * factors[j]
+        s = C.mix(s)
     turn = np.zeros(len(codes) + 1, np.int8)  # +1 where a line's shingles begin, -1 behind its last
     on = np.flatnonzero(count)
     turn[offsets[:-1][on]] += 1
@@ -209,7 +222,8 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     lines = C.save(line_table(docs, key, text, least, k, rows, bands), "lines")
     taken = (F.col("size") >= max(least, 1)) & F.col("id").isNotNull()
     names = band_columns(bands)
-    reps = lines.where(taken & F.col("b0").isNotNull()).select("node", *names).distinct().select(F.col("node").alias("id"), F.array(*names).alias("keys"))
+    # equal lines have equal bands: one row for each node, by hash aggregation
+    reps = lines.where(taken & F.col("b0").isNotNull()).groupBy("node").agg(*[F.max(b).alias(b) for b in names]).select(F.col("node").alias("id"), F.array(*names).alias("keys"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     # places in order of documents, as one number where the key is one
     whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -227,9 +241,14 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         return line_texts(texts.join(wanted, "id"))
 
     found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent, k), "raw", lambda column: raw_members(column, k), percent).withColumnRenamed("node", "linked")
-    named = lines.select("id", "line", "size", F.when(taken, F.col("node")).alias("node")).join(found, F.col("node") == F.col("linked"), "left").select("id", "line", "size", F.coalesce("component", "node").alias("c"))
-    first = named.where("c is not null").groupBy("c").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("fc"), "p")
-    out = named.join(first, F.col("c") == F.col("fc"), "left")
+    # places are settled among nodes, whose copies have been counted with partial sums; lines meet their node's place last, in a join of two
+    # plain shuffles, which Spark splits where a line is very common
+    nodes = C.save(lines.where(taken).groupBy("node").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = C.save(nodes.join(found, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component", "node").alias("c"), "p", "n"), "nodes")
+    first = C.save(nodes.groupBy("c").agg(F.min("p").alias("p"), F.sum("n").alias("n")).where("n > 1").select("c", "p"), "first")
+    first = C.save(nodes.select("node", "c").join(first, "c").select(F.col("node").alias("first_node"), "p"), "first")
+    named = lines.select("id", "line", "size", F.when(taken, F.col("node")).alias("node"))
+    out = named.join(first, F.col("node") == F.col("first_node"), "left")
     alone = F.col("p").isNull()
     out = out.select("id", "line", "size", F.when(alone, F.col("id")).otherwise(doc_of(F.col("p"))).alias("first_doc"), F.when(alone, F.col("line")).otherwise(line_of(F.col("p"))).alias("first_line"))
     kept = F.col("first_doc").eqNullSafe(F.col("id")) & (F.col("first_line") == F.col("line"))

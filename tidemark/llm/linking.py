@@ -38,14 +38,15 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
     rows that share a bucket with another. verify(edges, table) keeps the edges (x, y) that are links. sets_of(payload
     column) gives the rows' distinct members, one row after the other, and how many each has.
     """
-    # one shuffle serves both the counting of keys and the rows that have them
-    keyed = reps.select("id", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "c")
+    # A key may hold a third of all rows: keys are counted with partial sums, and what is known of a key is a table of its own before the
+    # rows meet it, so that both sides of the join are plain shuffles, which Spark splits where a key is hot.
+    keyed = reps.select("id", F.explode("keys").alias("key"))
+    shared = C.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "c"), "shared")
     met = C.save(keyed.join(shared, "key"), "met")
-    weight = met.groupBy("id").agg(F.sum("c").alias("w"))
+    weight = C.save(met.groupBy("id").agg(F.sum("c").alias("w")), "weight")
+    full = C.save(fetch(weight.select("id")), "full")
     members = C.save(met.select("key", "id").join(weight, "id"), "members")
-    full = C.save(fetch(members.select("id").distinct()), "full")
-    pivots = members.groupBy("key").agg(F.max_by("id", F.struct("w", "id")).alias("y"), F.max("w").alias("yw"))
+    pivots = C.save(members.groupBy("key").agg(F.max(F.struct("w", "id")).alias("y")).select("key", F.col("y.id").alias("y"), F.col("y.w").alias("yw")), "pivots")
     # one edge for each row: to the pivot that it shares most keys with
     joint = members.join(pivots, "key").where("id <> y").groupBy("id", "y").agg(F.count(F.lit(1)).alias("k"), F.max("yw").alias("yw"))
     edges = joint.groupBy("id").agg(F.max_by("y", F.struct("k", "yw", "y")).alias("y")).select(F.col("id").alias("x"), "y")
@@ -53,7 +54,8 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
     links = C.save(verify(edges, full), "links")
     found = C.components(links, "x", "y")
     named = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("y")).where("lo < hi").select("key", "y")
+    named = C.save(named, "named")
+    mixed = C.save(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("y")).where("lo < hi").select("key", "y"), "mixed")
     open_ = C.save(named.join(mixed, "key").groupBy("id", "label", "y").agg(F.count(F.lit(1)).alias("k")), "open")
     if open_.isEmpty():
         return found
@@ -62,7 +64,8 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
     # most groups are two rows that have been compared above and are no link
     twos = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("c = 2")
     tested = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rows = C.save(rows.join(twos.join(tested, ["x", "y"]).select("g").distinct(), "g", "left_anti"), "rows")
+    settled = C.save(twos.join(tested, ["x", "y"]).select("g").distinct(), "settled")
+    rows = C.save(rows.join(settled, "g", "left_anti"), "rows")
     more = C.save(compare_blocks(rows, full, payload, sets_of, percent), "links")
     return C.components(links.union(more), "x", "y")
 
@@ -74,7 +77,7 @@ def compare_blocks(rows: DataFrame, full: DataFrame, payload: str, sets_of, perc
     of blocks is a group of its own, of at most 2 * block rows."""
     size = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
     top = size.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("ca"), F.sum("c").alias("call"))
-    blocks = top.select("g", "major", F.ceil(F.col("ca") / block).cast("int").alias("na"), F.ceil((F.col("call") - F.col("ca")) / block).cast("int").alias("nu"))
+    blocks = C.save(top.select("g", "major", F.ceil(F.col("ca") / block).cast("int").alias("na"), F.ceil((F.col("call") - F.col("ca")) / block).cast("int").alias("nu")), "blocks")
     dealt = rows.join(blocks, "g")
     major = F.col("label") == F.col("major")
     mine = F.when(major, F.pmod(F.hash("id"), "na") + F.col("nu")).otherwise(F.pmod(F.hash("id"), "nu"))

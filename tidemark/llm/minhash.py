@@ -91,6 +91,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     found = link(reps, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi"), k), lambda edges, sets: verify_sets(edges, sets, percent), "set", list_members, percent)
     # nodes of several sets (repeated keys) are joined through the key as well
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("cn"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.coalesce("component", "rep").alias("component"))
+    # saved, so that the join has plain shuffles on both sides and a large group of equal texts is split
+    named = C.save(named, "named")
     out = sig.join(named, (F.col("id").isNotNull()) & (F.col("n") == F.col("cn")) & (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")), "left")
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))

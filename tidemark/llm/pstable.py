@@ -140,7 +140,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     count = hits.groupBy("id").agg(F.sum("links").alias("links"))
     comps = C.components(hits.where("low is not null"), "id", "low").select(F.col("node").alias("id"), "component")
     named = classes.select("id", *[F.col(c).alias(f"c{c}") for c in ("label", "d", "p", "q")], "n").join(count, "id", "left").join(comps, "id", "left")
-    named = named.select("clabel", "cd", "cp", "cq", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
+    # saved, so that the join has plain shuffles on both sides and a large group of equal vectors is split
+    named = C.save(named.select("clabel", "cd", "cp", "cq", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component")), "named")
     same = (F.col("label") == F.col("clabel")) & (F.col("d") == F.col("cd")) & (F.col("p") == F.col("cp")) & (F.col("q") == F.col("cq"))
     linked = good.drop("v").join(named, same).select("id", "links", "component")
     bad = src.where(~fine).select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("component"))
