@@ -231,15 +231,54 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- connected components
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest reachable node) for every node that a link names.
-
-    Distributed union-find: each round hooks every node to the smallest label next to it, then halves the paths to the
-    roots. Labels only fall, each round is a written table, and the loop ends when no label changes. Links of null or of
-    a node with itself join nothing.
+#: Links that one task joins by itself.
+TASK_LINKS = 500_000
+
+
+def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some links and the smallest node that each is joined with by them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        before = low.copy()
+        np.minimum.at(low, low[i], low[j])  # the roots learn first, so that a chain closes up in a few steps
+        np.minimum.at(low, low[j], low[i])
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        if (low == before).all():
+            return nodes, nodes[low]
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, task_links: int = TASK_LINKS) -> DataFrame:
+    """node, component (its smallest reachable node) for every node that a link names. Links of null or of a node with itself
+    join nothing.
+
+    Distributed union-find. First every task joins up to task_links links by itself, which leaves one link for each of its nodes;
+    if one task held them all, that is the result. Then each round hooks every node to the smallest label next to it and halves
+    the paths to the roots. Labels only fall, each round is a written table, and the loop ends when no label changes; each
+    round at least halves the longest path, so most_rounds is beyond any graph that can be stored.
     """
     both = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = save(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    edges = save(both.distinct(), "edges")
+    parts = -(-edges.count() // task_links)
+    if not parts:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def join(batches):
+        held = [x for x in batches if len(x)]
+        if held:
+            t = pa.Table.from_batches(held)
+            got = local_components(*(np.array(t.column(c).to_pylist()) for c in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.schema.field(0).type) for x in got], ["u", "v"])
+
+    joined = save(edges.repartition(parts).mapInArrow(join, f"u {kind}, v {kind}"), "joined")
+    if parts == 1:
+        return joined.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    star = joined.where("u <> v")
+    edges = save(star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     label = save(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "labels")
     for _ in range(most_rounds):
         near = edges.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
