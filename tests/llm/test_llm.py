@@ -146,7 +146,7 @@ def test_search_has_recall_and_exact_scores(vectors):
     from tidemark.llm.mih import search
 
     rows, df = vectors
-    got = search(df.where("vec_id <> 906"), "vec_id % 20 = 0 and vec_id < 900", bits=16, substrings=8, radius=7).toPandas()
+    got = search(df.where("vec_id <> 906"), "vec_id % 20 = 0 and vec_id < 900", bits=16, least_shard=50).toPandas()
     x = np.array([r[1] for r in rows], np.float64)
     hit = total = 0
     for q in range(0, 300, 20):
@@ -170,6 +170,57 @@ def test_search_falls_back_to_all_rows_and_takes_little(spark, vectors):
     assert search(df.limit(0), "vec_id = 0").count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 1500, 6000])
+def test_search_recall_with_the_query_s_own_parameters(spark, n):
+    """Vectors without any structure, the hardest case: recall at each size, and the radius that was learned."""
+    from tidemark.llm.mih import search
+
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3)
+    got = search(d, "vec_id % 100 = 0").toPandas()
+    x = x.astype(np.float64)
+    hit = 0
+    for q in range(0, n, 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 11)) and np.allclose(far[mine.vec_id], mine.score, rtol=1e-14)
+        hit += len(set(np.argsort(far)[:10]) & set(mine.vec_id))
+    assert hit / (10 * len(range(0, n, 100))) >= 0.9
+
+
+def test_tables_find_every_code_within_the_radius():
+    from tidemark.llm.mih import Tables
+
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000).astype(np.uint64)
+    codes[:500] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    for width in (4, 8, 16):
+        tables = Tables(codes, 64, width)
+        for radius in (0, 1, 2, 3, 7, 12, 20, 27, 31, 64):
+            for q in (0, 5, 700, 2999):
+                assert list(tables.within(codes[q], radius)) == list(np.flatnonzero(np.bitwise_count(codes ^ codes[q]) <= radius))
+
+
+def test_search_takes_repeated_keys_row_by_row(spark):
+    from tidemark.llm.mih import search
+
+    x = np.random.default_rng(4).normal(size=(40, 8))
+    x[20:24] = x[3]  # ties
+    keys = [*range(36), 0, 0, 7, None]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = search(d.withColumn("id", F.lit(1)).withColumn("row", F.lit(2)), "vec_id in (0, 7)", k=5, bits=8).toPandas()
+    want = []
+    for q, key in enumerate(keys):
+        if key in (0, 7):
+            near = sorted((float(np.sqrt(((x[j] - x[q]) ** 2).sum())), k) for j, k in enumerate(keys) if k is not None and k != key)[:5]
+            want += [(key, r + 1, k, s) for r, (s, k) in enumerate(near)]
+    mine = sorted(got.itertuples(index=False, name=None), key=lambda r: (r[0], r[3], r[1]))
+    assert len(mine) == len(want) == 25
+    for a, b in zip(mine, sorted(want, key=lambda r: (r[0], r[3], r[1]))):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-12)
+
+
 def test_near_vectors_equal_brute_force(vectors):
     from tidemark.llm.pstable import near_vectors
 
