@@ -365,6 +365,63 @@ def test_quality_rejects_junk_and_shrinks_sparse_sites(spark):
     assert classify(d.limit(0), lab, F.col("host"), F.col("path")).count() == 0
 
 
+def test_quality_posteriors_equal_a_recomputation(spark):
+    """Every posterior from the evidence column alone, level by level, in plain Python; clashing names are replaced."""
+    from tidemark.llm.quality import classify
+
+    r = random.Random(11)
+    rows = []
+    for i in range(400):
+        bad = r.random() < (0.8 if i % 9 == 0 else 0.1)
+        rows.append((i, "##!! $$%% " * 20 + "x" * (i % 7) if bad else prose(20 + i % 50, i), None if i % 50 == 7 else f"h{i % 9}", f"p{i % 30}", 5.0, "old"))
+    rows += [(400, None, "h1", "p9", 5.0, "old"), (400, "", "h1", "p9", 5.0, "old"), (None, "one", "lone", None, 5.0, "old")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, site string, page string, llr double, accepted string").repartition(3)
+    lab = spark.createDataFrame([(i, int("#" not in rows[i][1])) for i in range(0, 400, 2)], "doc_id bigint, quality int")
+    got = [x.asDict() for x in classify(d, lab, F.col("site"), F.col("page"), keep=["doc_id", "text", "llr", "accepted"]).collect()]
+    assert len(got) == len(rows) and {x["text"] for x in got} == {x[1] for x in rows}
+    share = sum(int("#" not in rows[i][1]) for i in range(0, 400, 2)) / 200
+    base = np.log(share / (1 - share))
+    logit = lambda p: np.log(p / (1 - p))
+    for x in got:
+        x["p"] = 1 / (1 + np.exp(-(x["llr"] + base)))
+
+    def total(*names):
+        out = {}
+        for x in got:
+            g, n = out.get(tuple(x[c] for c in names), (0.0, 0))
+            out[tuple(x[c] for c in names)] = (g + x["p"], n + 1)
+        return out
+
+    def worth(groups, mean):
+        many = [(g, n, mean(k)) for k, (g, n) in groups.items() if n >= 2]
+        room = sum((n - 1) * m * (1 - m) for _, n, m in many)
+        rho = (sum(n * (g / n - m) ** 2 for g, n, m in many) - sum(m * (1 - m) for _, _, m in many)) / room
+        return min(1000.0, max(1.0, 1 / max(rho, 1e-3) - 1))
+
+    hosts, paths = total("host"), total("host", "path")
+    mean = sum(x["p"] for x in got) / len(got)
+    a = worth(hosts, lambda k: mean)
+    of_host = {k: (g + a * mean) / (n + a) for k, (g, n) in hosts.items()}
+    b = worth(paths, lambda k: of_host[k[:1]])
+    for x in got:
+        g, n = paths[x["host"], x["path"]]
+        own = min(1 - 1e-6, max(1e-6, (g - x["p"] + b * of_host[x["host"],]) / (n - 1 + b)))
+        assert x["host_posterior"] == pytest.approx(of_host[x["host"],], rel=1e-9) and x["path_posterior"] == pytest.approx(own, rel=1e-9)
+        assert x["posterior"] == pytest.approx(1 / (1 + np.exp(-(x["llr"] + logit(own)))), rel=1e-9) and x["accepted"] == (x["posterior"] >= 0.5)
+
+
+def test_quality_learns_words_that_statistics_cannot_tell_apart(spark):
+    from tidemark.llm.quality import classify
+
+    r = random.Random(12)
+    good, bad = [f"{a}{b}" for a in "bdfg" for b in ("alo", "ire", "unt")], [f"{a}{b}" for a in "klmn" for b in ("eso", "ota", "urn")]
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) if r.random() < 0.7 else r.choice(WORDS[:40]) for _ in range(40)), "h", "p") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(250)], "doc_id bigint, quality int")
+    got = classify(d, lab, F.col("host"), F.col("path")).toPandas().set_index("doc_id")
+    assert np.mean([got.accepted[i] == bool(i % 2) for i in range(250, 500)]) > 0.97
+
+
 # ---------------------------------------------------------------- 5 BPE, 7 packing
 
 def test_bpe_equals_the_library(docs, texts):
