@@ -29,6 +29,16 @@ def cooling(df: DataFrame, key: str, ts: str, flow: str, t: str, most_flow: floa
     return d.groupBy(key).agg(F.count("_fall").alias("n"), F.when(F.count("_fall") >= least, F.percentile("_fall", F.lit(0.5))).alias("rate"))
 
 
+def cooling_sides(df: DataFrame, key: str, ts: str, flow: str, t: str, most_flow: float, least_t: float, least: int, before: Column) -> DataFrame:
+    """key, rate_before, rate_after, d_rate: the cooling rate of the hours for which before holds and of the others."""
+    w = Window.partitionBy(key).orderBy(ts)
+    still = (hours_between(F.lead(ts).over(w), ts) == 1) & (F.col(flow) <= most_flow) & (F.lead(flow).over(w) <= most_flow) & (F.col(t) > least_t)
+    d = df.withColumn("_fall", F.when(still, F.col(t) - F.lead(t).over(w))).withColumn("_b", before)
+    rate = lambda c: F.when(F.count(c) >= least, F.percentile(c, F.lit(0.5)))
+    g = d.groupBy(key).agg(rate(F.when(F.col("_b"), F.col("_fall"))).alias("rate_before"), rate(F.when(~F.col("_b"), F.col("_fall"))).alias("rate_after"))
+    return g.withColumn("d_rate", F.col("rate_after") - F.col("rate_before"))
+
+
 def balanced_fill(df: DataFrame, key: str, ts: str, rate: str, counter: str, short: int = 3) -> DataFrame:
     """On an hourly grid: rate with its gaps filled, and source (measured, interpolated, balanced, modelled).
 
@@ -36,10 +46,10 @@ def balanced_fill(df: DataFrame, key: str, ts: str, rate: str, counter: str, sho
     sum is what the counter went up between the readings on both sides (balanced) where both are there and the
     difference is plausible, else unscaled (modelled). Gaps at the ends are modelled."""
     w = Window.partitionBy(key).orderBy(ts)
-    past, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past, on = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("_i", F.row_number().over(w))
     at = F.when(F.col(rate).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(rate).alias("v"), F.col(counter).alias("c")))
-    d = d.withColumn("_p", F.last(at, True).over(past)).withColumn("_n", F.first(at, True).over(on))
+    d = d.withColumn("_p", F.last(at, True).over(past)).withColumn("_n", F.last(at, True).over(on))
     profile = df.groupBy(key, F.hour(ts).alias("_h")).agg(F.avg(rate).alias("_hm"))
     mean = df.groupBy(key).agg(F.avg(rate).alias("_m"), F.max(rate).alias("_top"))
     d = d.withColumn("_h", F.hour(ts)).join(profile, [key, "_h"], "left").join(mean, key, "left").withColumn("_model", F.coalesce("_hm", "_m"))

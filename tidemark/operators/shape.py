@@ -17,12 +17,14 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def merge_generations(frames: list[DataFrame], keys: list[str], ts: str = "ts") -> DataFrame:
-    """Union of overlapping exports; of equal keys the row of the later frame wins (frames in rising priority)."""
+    """Union of overlapping exports; of equal keys the row of the later frame wins (frames in rising priority), and within a frame the row whose
+    values come last in order, whatever the partitions."""
     tagged = [f.withColumn("_gen", F.lit(i)) for i, f in enumerate(frames)]
     out = tagged[0]
     for f in tagged[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return keep_first(out, keys, F.col("_gen").desc()).drop("_gen")
+    rest = [c for c in out.columns if c not in (*keys, "_gen")]
+    return keep_first(out, keys, F.col("_gen").desc(), *[F.desc_nulls_last(c) for c in rest]).drop("_gen")
 
 
 def mask_outside(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
@@ -71,10 +73,11 @@ def interpolate_short(df: DataFrame, key: str, ts: str, value: str, most: int) -
     """On a regular grid: NULL runs of at most `most` steps between two values are filled linearly and marked in
     `interpolated`; longer runs and those at the ends stay NULL as a whole."""
     w = Window.partitionBy(key).orderBy(ts)
-    prior, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # both are running frames: a frame that ends with the partition would be worked out anew for every row
+    prior, later = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("_i", F.row_number().over(w))
     at = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
-    d = d.withColumn("_p", F.last(at, True).over(prior)).withColumn("_n", F.first(at, True).over(later))
+    d = d.withColumn("_p", F.last(at, True).over(prior)).withColumn("_n", F.last(at, True).over(later))
     gap = F.col("_n.i") - F.col("_p.i")
     fill = F.col(value).isNull() & (gap - 1 <= most)
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("_i") - F.col("_p.i")) / gap
@@ -114,7 +117,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, ts: str, value: st
     w = Window.partitionBy(key).orderBy(ts, "_ask")
     both = l.unionByName(r)
     at = F.when(F.col("_ask") == 0, F.struct("_t", "_v"))
-    both = both.withColumn("_p", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_p", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    down = Window.partitionBy(key).orderBy(F.desc(ts), F.desc("_ask"))
+    both = both.withColumn("_n", F.last(at, True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.where("_ask = 1")
     back, on = hours_between(ts, "_p._t"), hours_between("_n._t", ts)
     pick = F.when((back <= most_hours) & ((on > most_hours) | on.isNull() | (back <= on)), F.col("_p")).when(on <= most_hours, F.col("_n"))

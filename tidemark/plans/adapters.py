@@ -66,3 +66,13 @@ VISITS = "SELECT DISTINCT o_custkey % 100 + 1 AS entity, CAST(o_orderdate AS DAT
 def r6(*columns: str):
     """Columns rounded to 6 digits under their own names."""
     return [F.round(c, 6).alias(c) for c in columns]
+
+
+#: Channels of ten entities by hour: supply, return and spread in degrees, flow, power and outdoor temperature, all from the readings.
+HOURS = "SELECT entity, ts, n, v, 60.0 + n AS vl, 30.0 + v * 0.2 AS rt, 30.0 + n - v * 0.2 AS dt, 60.0 + v * 5 AS flow, (60.0 + v * 5) * (30.0 + n - v * 0.2) * 0.00116 AS power, CAST((CAST(ts AS DATE) - DATE '2024-01-01') % 23 - 4 AS DOUBLE) AS t_out FROM (SELECT user_id % 10 AS entity, date_trunc('hour', ts) AS ts, count(*) AS n, max(value) AS v FROM events GROUP BY 1, 2)"
+
+
+def hours(spark, sf) -> DataFrame:
+    h = readings(spark, sf).groupBy((F.col("entity") % 10).alias("entity"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
+    h = h.withColumns({"vl": 60.0 + F.col("n"), "rt": 30.0 + F.col("v") * 0.2, "dt": 30.0 + F.col("n") - F.col("v") * 0.2, "flow": 60.0 + F.col("v") * 5})
+    return h.withColumn("power", F.col("flow") * F.col("dt") * 0.00116).withColumn("t_out", (F.datediff("ts", F.lit("2024-01-01").cast("date")) % 23 - 4).cast("double"))

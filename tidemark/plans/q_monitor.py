@@ -193,8 +193,3 @@ def alarms_on_days(spark, sf):
 def common_days(spark, sf):
     p = panel(spark, sf)
     return p.where("entity = 1").select("day").intersect(p.where("entity = 2").select("day"))
-
-
-@query("alarm_budget_pick", f"SELECT entity, day, round(energy, 6) AS energy FROM ({PANEL}) ORDER BY energy DESC, entity, day LIMIT 50")
-def alarm_budget_pick(spark, sf):
-    return panel(spark, sf).orderBy(F.desc("energy"), "entity", "day").limit(50).select("entity", "day", *r6("energy"))
