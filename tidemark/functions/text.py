@@ -66,4 +66,41 @@ def house_variants(x) -> Column:
 
 
 def decimal_comma(x, digits: int = 1) -> Column:
-    return F.replace(F.format_string(f"%.{digits}f", col(x)), F.lit("."), F.lit(","))
+    """A number with so many digits behind a comma; as a decimal of six digits, ties rounded away from 0."""
+    return F.replace(F.round(col(x).cast("decimal(18,6)"), digits).cast(f"decimal(18,{digits})").cast("string"), F.lit("."), F.lit(","))
+
+
+def word_with_vetoes(x, word: str, after: tuple[str, ...] = (), before: tuple[str, ...] = (), window: int = 20) -> Column:
+    """True if the word stands somewhere in the normalized text without any veto in the `window` characters behind it or before it. Every occurrence is looked at."""
+    parts = F.split(normalize(x), rf"\Q{word}\E", -1)
+    near = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.right(F.element_at(parts, i), F.lit(window)).alias("l"), F.left(F.element_at(parts, i + 1), F.lit(window)).alias("r")))
+    bad = lambda n: _any(n["r"], after) | _any(n["l"], before)
+    return F.coalesce(F.when(F.size(parts) > 1, F.exists(near, lambda n: ~bad(n))), F.lit(False))
+
+
+def _any(x: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(x, F.lit(w))
+    return out
+
+
+def affirmed(x, word: str, negations: tuple[str, ...], breaks: str = r"[.;!?\n]") -> Column:
+    """True if a clause of the normalized text has the word and no negation before it in the same clause."""
+    clauses = F.split(F.regexp_replace(F.lower(col(x)), r"[\t\r\f ]+", " "), breaks, -1)
+    denied = r"(^|[^a-z])(" + "|".join(negations) + r")([^a-z]|$)"
+    return F.coalesce(F.exists(clauses, lambda c: F.contains(c, F.lit(word)) & ~F.substring_index(c, word, 1).rlike(denied)), F.lit(False))
+
+
+def address_key(x) -> Column:
+    """Key of an address whatever its spelling: umlauts written out, 'str.', 'str' and 'strasse' as one, punctuation dropped, 'number letter' and 'number - number' closed up, leading zeros
+    of the number and anything behind a comma or in brackets dropped."""
+    out = F.regexp_replace(normalize(x), r"\([^)]*\)", " ")
+    out = F.regexp_replace(out, r",.*$", "")
+    out = F.regexp_replace(out, r"str(asse|\.)?([ 0-9]|$)", "strasse $2")
+    out = F.regexp_replace(out, r"pl(atz|\.)([ 0-9]|$)", "platz $2")
+    out = F.regexp_replace(out, r"[.'\"/]", " ")
+    out = F.regexp_replace(out, r" *- *", "-")
+    out = F.regexp_replace(out, r" +", " ")
+    out = F.regexp_replace(out, r" 0+([0-9])", " $1")
+    return F.trim(F.regexp_replace(out, r"([0-9]) ([a-z])$", "$1$2"))

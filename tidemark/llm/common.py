@@ -18,9 +18,11 @@ _swept: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where the session names none."""
+    """The folder that driver and executors share. A session of one machine that names none gets a folder of its own; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). A session of one machine that names none gets a folder of its own; a cluster must name one."""
+    import tempfile
+
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return at
+
+
+def ready(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -20,11 +38,7 @@ def implicit_nodes(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str
 def components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, most_rounds: int = 50) -> DataFrame:
     """node, component (smallest node it is joined with); isolated nodes are their own. Labels spread until none changes; each round is
     checkpointed in the session's shared folder."""
-    import tempfile
-
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    ready(nodes.sparkSession)
     e = undirected(edges, a, b).checkpoint()
     label = nodes.select(F.col(node).alias("u"), F.col(node).alias("l")).checkpoint()
     for _ in range(most_rounds):
@@ -40,25 +54,29 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, mo
 
 def hops(edges: DataFrame, a: str, b: str, most: int) -> DataFrame:
     """u, v, hops: pairs of nodes joined by at most `most` edges, with the fewest."""
-    e = undirected(edges, a, b)
+    ready(edges.sparkSession)
+    e = undirected(edges, a, b).checkpoint()
     out = e.withColumn("hops", F.lit(1))
     front = out
     for k in range(2, most + 1):
-        front = front.select("u", F.col("v").alias("w")).join(e.select(F.col("u").alias("w"), "v"), "w").where("u <> v").select("u", "v").distinct().join(out, ["u", "v"], "left_anti").withColumn("hops", F.lit(k))
+        front = front.select("u", F.col("v").alias("w")).join(e.select(F.col("u").alias("w"), "v"), "w").where("u <> v").select("u", "v").distinct().join(out, ["u", "v"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()  # each front is worked out once
         out = out.unionByName(front)
     return out
 
 
 def radius_pairs(pos: DataFrame, key: str, lat: str, lon: str, metres: float) -> DataFrame:
-    """a, b, metres of pairs (a < b) at most that far apart on the sphere. Points meet through grid cells of the radius's size and the cells
-    next to them, so only near points are compared."""
+    """a, b, metres of pairs (a < b) at most that far apart on the sphere. Points meet through cells: bands of latitude as high as the radius, each cut into columns that are
+    at least as wide as the radius anywhere in the band and next to it. A point looks into its own band and the two beside it, by their columns, so only near points are
+    compared and none is missed. Longitudes do not wrap at 180 degrees."""
     r = 6_371_000.0
-    cell = metres / 111_000.0
-    p = pos.select(F.col(key).alias("k"), F.col(lat).alias("y"), F.col(lon).alias("x"))
-    p = p.withColumn("cy", F.floor(F.col("y") / cell)).withColumn("cx", F.floor(F.col("x") * F.cos(F.radians(F.round("y", 0))) / cell))
-    around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-2, -1, 0, 1, 2)])
-    a = p.withColumn("d", F.explode(around)).select(F.col("k").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("cy") + F.col("d.dy")).alias("cy"), (F.col("cx") + F.col("d.dx")).alias("cx"))
-    b = p.select(F.col("k").alias("b"), F.col("y").alias("by"), F.col("x").alias("bx"), "cy", "cx")
+    cell = metres / 111_000.0  # a degree has at least 111,194 m on this sphere
+    p = pos.select(F.col(key).alias("k"), F.col(lat).alias("y"), F.col(lon).alias("x")).withColumn("cy", F.floor(F.col("y") / cell))
+    narrow = lambda band: F.cos(F.radians(F.least(F.lit(89.999), F.greatest(F.abs(band - 1), F.abs(band + 2)) * cell)))
+    column = lambda x, band: F.floor(x * narrow(band) / cell)
+    around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = p.withColumn("d", F.explode(around)).select(F.col("k").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("cy") + F.col("d.dy")).alias("cy"), F.col("d.dx").alias("dx"))
+    a = a.select("a", "ay", "ax", "cy", (column(F.col("ax"), F.col("cy")) + F.col("dx")).alias("cx"))
+    b = p.select(F.col("k").alias("b"), F.col("y").alias("by"), F.col("x").alias("bx"), "cy", column(F.col("x"), F.col("cy")).alias("cx"))
     h = F.pow(F.sin(F.radians(F.col("by") - F.col("ay")) / 2), 2) + F.cos(F.radians("ay")) * F.cos(F.radians("by")) * F.pow(F.sin(F.radians(F.col("bx") - F.col("ax")) / 2), 2)
     d = 2 * r * F.asin(F.sqrt(h))
     return a.join(b, ["cy", "cx"]).where("a < b").withColumn("metres", d).where(F.col("metres") <= metres).select("a", "b", "metres").distinct()

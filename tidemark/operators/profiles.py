@@ -140,12 +140,24 @@ def complete_days(df: DataFrame, key: str, ts: str, value: str, history: int = 7
     return d.select(key, "day", F.transform("_l", lambda x: x["v"]).alias("hours"), F.coalesce(F.datediff("day", F.lag("day", history).over(w)) == history, F.lit(False)).alias("has_history"))
 
 
-def nearest_point(points: DataFrame, grid: DataFrame, key: str, x: str, y: str, cell: float, name: str = "vertex") -> DataFrame:
-    """key, vertex, distance: the nearest grid point at most `cell` away, through cells of that size and their neighbours."""
+def nearest_point(points: DataFrame, grid: DataFrame, key: str, x: str, y: str, cell: float, name: str = "vertex", most_rounds: int = 40) -> DataFrame:
+    """key, vertex, distance: the nearest grid point, of equally near ones the smallest. Points look into their own cell and those around it; what has no grid point within
+    a cell's width looks again in cells of twice the width, until all have one (or the grid is empty)."""
+    from tidemark.operators.graph import ready
+
+    ready(points.sparkSession)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(around).alias("_d"))
-    a = a.select(key, "_x", "_y", (F.floor(F.col("_x") / cell) + F.col("_d.i")).alias("_cx"), (F.floor(F.col("_y") / cell) + F.col("_d.j")).alias("_cy"))
-    b = grid.select(F.col(name), F.col(x).alias("_gx"), F.col(y).alias("_gy"), F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
-    m = a.join(b, ["_cx", "_cy"]).withColumn("distance", F.hypot(F.col("_x") - F.col("_gx"), F.col("_y") - F.col("_gy"))).where(F.col("distance") <= cell)
-    best = m.groupBy(key).agg(F.min(F.struct("distance", name)).alias("_b"))
-    return points.select(key).join(best, key, "left").select(key, F.col(f"_b.{name}").alias(name), F.col("_b.distance").alias("distance"))
+    left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).checkpoint()
+    vertices = grid.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(name), F.col(x).alias("_gx"), F.col(y).alias("_gy"))
+    found = None
+    for _ in range(most_rounds):
+        a = left.withColumn("_d", F.explode(around)).select(key, "_x", "_y", (F.floor(F.col("_x") / cell) + F.col("_d.i")).alias("_cx"), (F.floor(F.col("_y") / cell) + F.col("_d.j")).alias("_cy"))
+        b = vertices.withColumn("_cx", F.floor(F.col("_gx") / cell)).withColumn("_cy", F.floor(F.col("_gy") / cell))
+        m = a.join(b, ["_cx", "_cy"]).withColumn("distance", F.hypot(F.col("_x") - F.col("_gx"), F.col("_y") - F.col("_gy"))).where(F.col("distance") <= cell)
+        best = m.groupBy(key).agg(F.min(F.struct("distance", name)).alias("_b")).select(key, F.col(f"_b.{name}").alias(name), F.col("_b.distance").alias("distance")).checkpoint()
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, key, "left_anti").checkpoint()
+        if left.isEmpty() or (best.isEmpty() and vertices.isEmpty()):
+            break
+        cell *= 2
+    return points.select(key).join(found, key, "left")

@@ -44,12 +44,12 @@ def k_hop_neighbours(spark, sf):
     return G.hops(_edges(spark, sf), "a", "b", 3)
 
 
-POS = "p AS (SELECT s_suppkey AS k, 48.0 + (s_suppkey * 37 % 100) * 0.001 AS lat, 11.0 + (s_suppkey * 53 % 100) * 0.001 AS lon, s_acctbal > 5000 AS flag FROM supplier)"
+POS = "p AS (SELECT s_suppkey AS k, 49.45 + (s_suppkey * 37 % 100) * 0.001 AS lat, 11.0 + (s_suppkey * 53 % 100) * 0.001 AS lon, s_acctbal > 5000 AS flag FROM supplier)"
 NEAR = f"{POS}, d AS (SELECT a.k AS a, b.k AS b, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS m FROM p a JOIN p b ON a.k < b.k), q AS (SELECT * FROM d WHERE m <= 2000)"
 
 
 def _pos(spark, sf):
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (48.0 + (F.col("s_suppkey") * 37 % 100) * 0.001).alias("lat"), (11.0 + (F.col("s_suppkey") * 53 % 100) * 0.001).alias("lon"), (F.col("s_acctbal") > 5000).alias("flag"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (49.45 + (F.col("s_suppkey") * 37 % 100) * 0.001).alias("lat"), (11.0 + (F.col("s_suppkey") * 53 % 100) * 0.001).alias("lon"), (F.col("s_acctbal") > 5000).alias("flag"))
 
 
 @query("radius_pairs", f"WITH {NEAR} SELECT a, b, round(m, 3) AS metres FROM q")

@@ -89,9 +89,14 @@ def jump_score(spark, sf):
     return M.jump_score(daily(spark, sf), "entity", "day", "mean_v").select("entity", "day", *r6("jump"))
 
 
-@query("strongest_apart", None)
+JUMPS = f"j AS (SELECT entity, day, CASE WHEN count(*) OVER a = 5 AND count(*) OVER b = 5 THEN median(mean_v) OVER a - median(mean_v) OVER b END AS jump FROM ({DAILY}) WINDOW a AS (PARTITION BY entity ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), b AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))"
+
+
+@query("strongest_apart", f"""WITH RECURSIVE {JUMPS}, h AS (SELECT entity, day, jump, row_number() OVER (PARTITION BY entity ORDER BY abs(jump) DESC, day DESC, jump DESC) AS i FROM j WHERE abs(jump) >= 5),
+r AS (SELECT entity, CAST(0 AS BIGINT) AS i, CAST([] AS DATE[]) AS days FROM h WHERE i = 1 UNION ALL SELECT r.entity, h.i, CASE WHEN len(list_filter(r.days, lambda d: abs(d - h.day) < 10)) > 0 THEN r.days ELSE list_append(r.days, h.day) END FROM r JOIN h ON h.entity = r.entity AND h.i = r.i + 1),
+l AS (SELECT entity, unnest(days) AS day FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY i DESC) = 1) SELECT entity, day, round(jump, 6) AS jump FROM l JOIN h USING (entity, day)""")
 def strongest_apart(spark, sf):
-    return M.strongest_apart(M.jump_score(daily(spark, sf), "entity", "day", "mean_v"), "entity", "day", "jump", 5.0, 10)
+    return M.strongest_apart(M.jump_score(daily(spark, sf), "entity", "day", "mean_v"), "entity", "day", "jump", 5.0, 10).select("entity", "day", F.round("score", 6).alias("jump"))
 
 
 @query("weekly_mean_expectation", f"SELECT entity, day, round(avg(mean_v) OVER (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 6) AS expected FROM ({DAILY})")
@@ -184,12 +189,13 @@ def first_alarm_after(spark, sf):
     return E.first_after(visits(spark, sf), _alarms(spark, sf))
 
 
-@query("alarms_on_days", f"WITH {HOT} SELECT h.entity, h.day FROM h SEMI JOIN (SELECT entity, day FROM o WHERE day >= DATE '1997-01-01') x ON x.entity = h.entity AND x.day = h.day")
+@query("alarms_on_days", f"WITH {HOT} SELECT h.entity, h.day FROM h SEMI JOIN (SELECT entity, day FROM ({PANEL}) WHERE volume > 100) x ON x.entity = h.entity AND x.day = h.day")
 def alarms_on_days(spark, sf):
-    return _alarms(spark, sf).join(panel(spark, sf).where("day >= date'1997-01-01'").select("entity", "day"), ["entity", "day"], "left_semi")
+    """Alarms on days on which the entity had much volume."""
+    return _alarms(spark, sf).join(panel(spark, sf).where("volume > 100").select("entity", "day"), ["entity", "day"], "left_semi")
 
 
-@query("common_days", f"SELECT day FROM ({PANEL}) WHERE entity = 1 INTERSECT SELECT day FROM ({PANEL}) WHERE entity = 2")
+@query("common_days", f"WITH {HOT} SELECT entity, day FROM h INTERSECT SELECT entity, day FROM ({PANEL}) WHERE n >= 2")
 def common_days(spark, sf):
-    p = panel(spark, sf)
-    return p.where("entity = 1").select("day").intersect(p.where("entity = 2").select("day"))
+    """Entity days that are both in the alarms and among the days with several rows."""
+    return _alarms(spark, sf).intersect(panel(spark, sf).where("n >= 2").select("entity", "day"))

@@ -47,12 +47,12 @@ def balanced_gap_fill(spark, sf):
 
 
 @query("adaptive_windows", f"""WITH p AS ({POINTS}), e AS (SELECT entity, min(day) AS a, max(day) AS b FROM p GROUP BY 1), g AS (SELECT entity, a, CAST(unnest(generate_series(a, b, INTERVAL 28 DAY)) AS DATE) AS d FROM e), w AS (SELECT unnest(generate_series(14, 60)) AS width),
-c AS (SELECT g.entity, g.d, w.width, count(p.power) AS n, regr_slope(p.flow, p.power) AS slope FROM g CROSS JOIN w LEFT JOIN p ON p.entity = g.entity AND p.day <= g.d AND p.day > g.d - CAST(w.width AS INTEGER) WHERE g.d >= DATE '2000-06-01' GROUP BY 1, 2, 3),
+c AS (SELECT g.entity, g.d, w.width, count(p.power) AS n, regr_slope(p.flow, p.power) AS slope FROM g CROSS JOIN w LEFT JOIN p ON p.entity = g.entity AND p.day <= g.d AND p.day > g.d - CAST(w.width AS INTEGER) GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity, d ORDER BY CASE WHEN n >= 20 THEN 0 ELSE 1 END, CASE WHEN n >= 20 THEN width ELSE -width END) AS rn FROM c)
 SELECT entity, d AS window_end, CAST(width AS INTEGER) AS width, n, round(CASE WHEN n >= 20 THEN slope END, 5) AS slope FROM r WHERE rn = 1""")
 def adaptive_windows(spark, sf):
     out = P.adaptive_windows(points(spark, sf), "entity", "day", "power", "flow", step=28, least=20)
-    return out.where("window_end >= date'2000-06-01'").select("entity", "window_end", "width", "n", F.round("slope", 5).alias("slope"))
+    return out.select("entity", "window_end", "width", "n", F.round("slope", 5).alias("slope"))
 
 
 PAIRS = f"v AS ({VISITS}), s AS (SELECT v.entity, v.day AS visit, avg(energy) FILTER (p.day BETWEEN v.day + 1 AND v.day + 90) AS a, avg(energy) FILTER (p.day BETWEEN v.day - 364 AND v.day - 275) AS b FROM v LEFT JOIN ({PANEL}) p ON p.entity = v.entity GROUP BY 1, 2)"
@@ -77,10 +77,10 @@ def ternary_shares(spark, sf):
     return P.ternary(points(spark, sf), "entity", ("power", "flow", "spread")).select("l_orderkey", "l_linenumber", *r6("share_power", "share_flow", "share_spread"))
 
 
-@query("week_status", f"WITH k AS (SELECT CAST(unnest(generate_series(DATE '1998-01-05', DATE '1998-12-28', INTERVAL 7 DAY)) AS DATE) AS week), o AS (SELECT DISTINCT entity, day FROM ({PANEL})), h AS (SELECT entity, day, CASE WHEN volume > 60 THEN 1 ELSE -1 END AS direction FROM ({PANEL}) WHERE energy > 60), e AS (SELECT DISTINCT entity FROM o) SELECT e.entity, k.week, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.entity = e.entity AND direction = 1 AND h.day BETWEEN k.week - 27 AND k.week) THEN 'worse' WHEN EXISTS (SELECT 1 FROM h WHERE h.entity = e.entity AND h.day BETWEEN k.week - 27 AND k.week) THEN 'better' WHEN EXISTS (SELECT 1 FROM o WHERE o.entity = e.entity AND o.day BETWEEN k.week - 27 AND k.week) THEN 'watched' ELSE 'no_data' END AS status FROM e, k")
+@query("week_status", f"WITH k AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem), INTERVAL 7 DAY)) AS DATE) AS week), o AS (SELECT DISTINCT entity, day FROM ({PANEL})), h AS (SELECT entity, day, CASE WHEN volume > 60 THEN 1 ELSE -1 END AS direction FROM ({PANEL}) WHERE energy > 60), e AS (SELECT DISTINCT entity FROM o) SELECT e.entity, k.week, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.entity = e.entity AND direction = 1 AND h.day BETWEEN k.week - 27 AND k.week) THEN 'worse' WHEN EXISTS (SELECT 1 FROM h WHERE h.entity = e.entity AND h.day BETWEEN k.week - 27 AND k.week) THEN 'better' WHEN EXISTS (SELECT 1 FROM o WHERE o.entity = e.entity AND o.day BETWEEN k.week - 27 AND k.week) THEN 'watched' ELSE 'no_data' END AS status FROM e, k")
 def week_status(spark, sf):
     p = panel(spark, sf)
-    weeks = spark.sql("SELECT explode(sequence(date'1998-01-05', date'1998-12-28', interval 7 days)) AS week")
+    weeks = p.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("interval 7 days"))).alias("week"))
     a = p.where("energy > 60").select("entity", "day", F.when(F.col("volume") > 60, 1).otherwise(-1).alias("direction"))
     return P.week_status(a, p, "entity", "day", "direction", weeks)
 
@@ -91,11 +91,11 @@ def complete_days(spark, sf):
     return d.select("entity", "day", F.round(F.aggregate("hours", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), "has_history")
 
 
-@query("nearest_vertex", "WITH p AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 100) * 10.0 AS x, (s_suppkey * 53 % 100) * 10.0 AS y FROM supplier), g AS (SELECT p_partkey AS vertex, (p_partkey * 71 % 97) * 10.3 AS x, (p_partkey * 29 % 89) * 11.2 AS y FROM part), m AS (SELECT p.k, g.vertex, sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)) AS d FROM p JOIN g ON abs(p.x - g.x) <= 60 AND abs(p.y - g.y) <= 60), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(d, 6), vertex) AS rn FROM m WHERE d <= 60) SELECT p.k, round(d, 6) AS distance FROM p LEFT JOIN b ON b.k = p.k AND rn = 1")
+@query("nearest_vertex", "WITH p AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 100) * 10.0 AS x, (s_suppkey * 53 % 100) * 10.0 AS y FROM supplier), g AS (SELECT p_partkey AS vertex, (p_partkey * 71 % 97) * 10.3 AS x, (p_partkey * 29 % 89) * 11.2 AS y FROM part), m AS (SELECT p.k, g.vertex, sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)) AS d FROM p CROSS JOIN g), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(d, 6), vertex) AS rn FROM m) SELECT p.k, round(d, 6) AS distance FROM p LEFT JOIN b ON b.k = p.k AND rn = 1")
 def nearest_vertex(spark, sf):
     p = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") * 37 % 100) * 10.0).alias("x"), ((F.col("s_suppkey") * 53 % 100) * 10.0).alias("y"))
     g = table(spark, sf, "part").select(F.col("p_partkey").alias("vertex"), ((F.col("p_partkey") * 71 % 97) * 10.3).alias("x"), ((F.col("p_partkey") * 29 % 89) * 11.2).alias("y"))
-    return P.nearest_point(p, g, "k", "x", "y", 60.0).select("k", *r6("distance"))
+    return P.nearest_point(p, g, "k", "x", "y", 10.0).select("k", *r6("distance"))
 
 
 @query("cell_join", "SELECT floor(s_acctbal / 100) * 100 + 50 AS cell, count(*) AS n FROM supplier GROUP BY 1")

@@ -65,9 +65,10 @@ def share_at_cap(spark, sf):
     return N.share_at_cap(readings(spark, sf), "entity", "ts", "value", 60.0).select("entity", *r6("share"))
 
 
-@query("readable_numbers", "SELECT event_id, replace(printf('%.1f', value), '.', ',') AS shown FROM events WHERE value * 20 <> round(value * 20)")
+@query("readable_numbers", "SELECT event_id, replace(CAST(CAST(round(CAST(value AS DECIMAL(18, 6)), 1) AS DECIMAL(18, 1)) AS VARCHAR), '.', ',') AS shown FROM events")
 def readable_numbers(spark, sf):
-    return table(spark, sf, "events").where("value * 20 <> round(value * 20)").select("event_id", T.decimal_comma("value").alias("shown"))
+    """One digit behind the comma; ties, as decimals, are rounded away from 0."""
+    return table(spark, sf, "events").select("event_id", T.decimal_comma("value").alias("shown"))
 
 
 @query("alarms_per_year", f"WITH p AS ({PANEL}), a AS (SELECT entity, count(*) AS alarms FROM p WHERE energy > 80 GROUP BY 1), o AS (SELECT entity, max(day) - min(day) + 1 AS span FROM p GROUP BY 1) SELECT entity, coalesce(alarms, 0) AS alarms, round(coalesce(alarms, 0) * 365.25 / span, 6) AS per_year FROM o LEFT JOIN a USING (entity)")

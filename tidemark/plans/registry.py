@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("q_gaps", "q_winter", "q_assess", "q_shape", "q_stats", "q_monitor", "q_misc", "q_profiles", "q_seasons")
+MODULES = ("q_gaps", "q_winter", "q_assess", "q_labels", "q_shape", "q_stats", "q_monitor", "q_misc", "q_profiles", "q_seasons")
 _QUERIES: dict = {}
 
 

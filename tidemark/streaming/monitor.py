@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import shared_folder
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for checkpoints and outputs in the session's shared folder; of this machine only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for checkpoints and outputs in the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def day_aggregate(stream: DataFrame, key: str, ts: str, value: str, late: str = "2 hours") -> DataFrame:
