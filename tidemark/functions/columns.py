@@ -99,3 +99,8 @@ def normal_quantile(p) -> Column:
     mid = poly(a, r) * q / (poly(b, r) * r + 1)
     tail = lambda u: poly(c, F.sqrt(F.lit(-2.0) * F.ln(u))) / (poly(d, F.sqrt(F.lit(-2.0) * F.ln(u))) * F.sqrt(F.lit(-2.0) * F.ln(u)) + 1)
     return F.when((p <= 0) | (p >= 1), None).when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(mid)
+
+
+def hash32(*parts) -> Column:
+    """A number from 0 to 2^32 - 1 that depends on the parts' texts: the first eight hexadecimal digits of the MD5 of the parts joined by ':'. Any SQL engine has it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")

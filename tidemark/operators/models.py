@@ -54,33 +54,35 @@ def spectral_share(df: DataFrame, key: str, ts: str, x: str, shortest: float, lo
     return df.groupBy(key).applyInPandas(run, f"{key} {kind}, share double")
 
 
-def autoregression(df: DataFrame, key: str, day: str, y: str, x: list[str], least: int = 30) -> DataFrame:
-    """key, n, phi, intercept, sigma and one beta_<name> per regressor: y on its value of the day before and on x, over pairs of adjacent days;
-    phi is held to [-0.99, 0.99]. NULL below `least` pairs."""
-    kind = df.schema[key].dataType.simpleString()
-    names = ["intercept", "phi", *[f"beta_{c}" for c in x]]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna(subset=[y, *x]).sort_values(day)
-        d = pd.to_datetime(p[day]).diff().dt.days.to_numpy() == 1
-        v = p[y].to_numpy(float)
-        out = dict.fromkeys(names)
-        n, sigma = int(d.sum()), None
-        if n >= least:
-            a = np.column_stack([np.ones(n), np.roll(v, 1)[d], *[p[c].to_numpy(float)[d] for c in x]])
-            b = np.linalg.lstsq(a, v[d], rcond=None)[0]
-            b[1] = min(0.99, max(-0.99, b[1]))
-            sigma = float(np.std(v[d] - a @ b))
-            out = dict(zip(names, map(float, b), strict=True))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [n], **{k: [u] for k, u in out.items()}, "sigma": [sigma]})
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, n int, " + ", ".join(f"{c} double" for c in names) + ", sigma double")
+def autoregression(df: DataFrame, key: str, day: str, y: str, x: str, least: int = 30) -> DataFrame:
+    """key, n, phi, beta, intercept, sigma: y on its value of the day before and on x over pairs of adjacent days, by grouped covariances; phi is held to [-0.99, 0.99] and the rest fitted
+    to it. Gaps drop pairs. NULL below `least` pairs or where the two predictors do not vary apart."""
+    w = Window.partitionBy(key).orderBy(day)
+    d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumn("_l", F.when(F.datediff(day, F.lag(day).over(w)) == 1, F.lag(y).over(w)))
+    on = F.col("_l").isNotNull()
+    v, l, u = F.when(on, F.col(y)), F.col("_l"), F.when(on, F.col(x))
+    g = d.groupBy(key).agg(F.count(l).alias("n"), F.avg(v).alias("_my"), F.avg(l).alias("_ml"), F.avg(u).alias("_mx"), F.var_pop(v).alias("_yy"), F.var_pop(l).alias("_ll"), F.var_pop(u).alias("_xx"), F.covar_pop(l, u).alias("_lx"), F.covar_pop(l, v).alias("_ly"), F.covar_pop(u, v).alias("_xy"))
+    det = F.col("_ll") * F.col("_xx") - F.col("_lx") * F.col("_lx")
+    ok = (F.col("n") >= least) & (det > 1e-9 * F.col("_ll") * F.col("_xx"))
+    g = g.withColumn("phi", F.when(ok, F.least(F.greatest((F.col("_ly") * F.col("_xx") - F.col("_xy") * F.col("_lx")) / det, F.lit(-0.99)), F.lit(0.99))))
+    g = g.withColumn("beta", F.when(F.col("phi").isNotNull(), (F.col("_xy") - F.col("phi") * F.col("_lx")) / F.col("_xx")))
+    p, b = F.col("phi"), F.col("beta")
+    rest = F.col("_yy") + p * p * F.col("_ll") + b * b * F.col("_xx") - 2 * p * F.col("_ly") - 2 * b * F.col("_xy") + 2 * p * b * F.col("_lx")
+    return g.select(key, "n", "phi", "beta", (F.col("_my") - p * F.col("_ml") - b * F.col("_mx")).alias("intercept"), F.when(p.isNotNull(), F.sqrt(F.greatest(rest, F.lit(0.0)))).alias("sigma"))
 
 
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
-    """key, score (0 to 1, higher is odder) by an isolation forest grown on a bounded sample of rows and applied to all rows in batches."""
+    """key, score (0 to 1, higher is odder) by an isolation forest applied to all rows in batches. Each tree grows on a sample of its own, drawn from all rows: those with the smallest hashes of
+    (tree, row); trees * sample rows come to the driver."""
     kind = df.schema[key].dataType.simpleString()
-    data = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(sample * 4).toPandas().to_numpy(float)
+    total = df.count()
+    # a row is sent for a tree with about four times the chance it needs, so each tree has its sample; rows beyond it are dropped by their hash
+    near = min(1.0, 4 * sample / max(1, total))
+    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(F.lit(seed), t, F.col(key), *columns), F.lit(1 << 30)).alias("h"))), lambda d: d["h"] < int(near * (1 << 30)))
+    sent = df.select(*columns, F.explode(draws).alias("_d")).select("_d.t", "_d.h", *columns)
+    order = Window.partitionBy("t").orderBy("h", *columns)
+    rows = sent.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= sample).drop("_i").orderBy("t", "h").toPandas()
+    samples = {t: g[columns].to_numpy(float) for t, g in rows.groupby("t")}
     rng = np.random.default_rng(seed)
 
     def grow(x: np.ndarray, depth: int):
@@ -93,8 +95,8 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 1
     def mean_path(n):
         return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    size = min(sample, len(data))
-    forest = [grow(data[rng.permutation(len(data))[:size]], int(np.ceil(np.log2(max(2, size))))) for _ in range(trees)] if size else []
+    size = min(sample, total)
+    forest = [grow(samples[t], int(np.ceil(np.log2(max(2, size))))) for t in sorted(samples)]
 
     def depth(node, x, at, out, d):
         if isinstance(node, int):

@@ -1,88 +1,125 @@
-"""Resampling tests: replicates are rows, each worked on by itself from a small broadcast input."""
+"""Resampling tests: replicates are rows, worked out by grouped sums over all data; nothing is collected."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from math import factorial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import hash32
 
-def _auc(y: np.ndarray, s: np.ndarray) -> float:
-    order = np.argsort(s, kind="stable")
-    s, y = s[order], y[order]
-    _, first, count = np.unique(s, return_index=True, return_counts=True)
-    rank = np.repeat(first + (count + 1) / 2, count)
-    p, n = int((y == 1).sum()), int((y != 1).sum())
-    return float((rank[y == 1].sum() - p * (p + 1) / 2) / (p * n)) if p and n else float("nan")
 
+def _counts(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """s, pos, neg: how many rows of either class have a score."""
+    d = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    return d.groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.when(F.col(truth) == 1, 1)).alias("pos"), F.count(F.when(F.col(truth) != 1, 1)).alias("neg"))
 
-def replicates(df: DataFrame, n: int, run, schema: str, seed: int = 1) -> DataFrame:
-    """run(rng, pandas frame) -> dict of values, n times, each with a seed of its own. The frame is collected: for tables of labels or
-    cases, which are bounded by the number of entities; a table of more than a million rows is refused."""
-    spark = df.sparkSession
-    rows = df.limit(1_000_001).toPandas()
-    if len(rows) > 1_000_000:
-        raise ValueError("too many rows to resample on one machine")
-    names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def work(batches):
-        for pdf in batches:
-            yield pd.DataFrame([{"replicate": int(i), **run(np.random.default_rng([seed, int(i)]), rows)} for i in pdf["id"]], columns=["replicate", *names])
+def uniform(*parts) -> Column:
+    """A number between 0 and 1, both excluded, that depends on the parts alone."""
+    return (hash32(*parts) + 0.5) / 4294967296.0
 
-    return spark.range(n).mapInPandas(work, f"replicate bigint, {schema}")
 
+def poisson(df: DataFrame, mean: str, u: Column, out: str, most: int = 12) -> DataFrame:
+    """df with out, the Poisson count of a mean at the uniform number u: by the distribution function for means up to 4, beyond by a normal number with a skewness term."""
+    d = df.withColumn("_u", u)
+    d = d.withColumn("_v", F.col("_u") * F.exp(F.least(F.col(mean), F.lit(4.0)))).withColumn("_z", F.when(F.col(mean) > 4, F.sqrt(-2 * F.ln("_u")) * F.cos(6.283185307179586 * uniform("_u"))))
+    term, total, small = F.lit(1.0), F.lit(1.0), F.lit(0)
+    for k in range(1, most + 1):
+        small = small + (F.col("_v") > total).cast("int")
+        term = F.pow(mean, F.lit(k)) / factorial(k)
+        total = total + term
+    large = F.greatest(F.lit(0), F.floor(F.col(mean) + F.sqrt(mean) * F.col("_z") + (F.col("_z") * F.col("_z") - 1) / 6 + 0.5).cast("int"))
+    return d.withColumn(out, F.when(F.col(mean) == 0, 0).when(F.col(mean) <= 4, small).otherwise(large)).drop("_u", "_v", "_z")
 
-def bootstrap_auc(df: DataFrame, truth: str, score: str, n: int = 1000, seed: int = 1) -> DataFrame:
-    """auc_low, auc_median, auc_high, replicates: percentiles 2.5, 50 and 97.5 of the AUC over resampled rows."""
-    def run(rng, rows):
-        at = rng.integers(0, len(rows), len(rows))
-        return {"auc": _auc(rows[truth].to_numpy()[at], rows[score].to_numpy()[at])}
 
-    r = replicates(df.select(truth, score).dropna(), n, run, "auc double", seed).where("not isnan(auc)")
-    return r.agg(F.percentile("auc", F.lit(0.025)).alias("auc_low"), F.percentile("auc", F.lit(0.5)).alias("auc_median"), F.percentile("auc", F.lit(0.975)).alias("auc_high"), F.count(F.lit(1)).alias("replicates"))
+def _auc(weighted: DataFrame, by: str, buckets: int = 64) -> DataFrame:
+    """by, auc from (by, s, pos, neg). Pairs are counted by running sums in two steps, score ranges and within them, so no task sees all scores of a replicate."""
+    w = weighted.where("pos > 0 or neg > 0")
+    cuts = w.agg(F.percentile_approx("s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("_c"))  # one row of buckets - 1 numbers
+    w = w.crossJoin(F.broadcast(cuts)).withColumn("_r", F.size(F.filter("_c", lambda c: c < F.col("s")))).drop("_c")
+    size = w.groupBy(by, "_r").agg(F.sum("neg").alias("_n"))
+    below = size.select(by, "_r", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    run = F.coalesce(F.sum("neg").over(Window.partitionBy(by, "_r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = w.withColumn("_run", run).join(below, [by, "_r"])
+    g = d.groupBy(by).agg(F.sum(F.col("pos") * (F.col("_below") + F.col("_run") + F.col("neg") / 2)).alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    return g.select(by, F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_u") / (F.col("_p").cast("double") * F.col("_q"))).alias("auc"))
 
 
-def permutation_test(df: DataFrame, truth: str, score: str, n: int = 1000, seed: int = 1) -> DataFrame:
-    """observed, p_value: the AUC against shuffled labels, (1 + at least as large) / (1 + replicates)."""
-    d = df.select(truth, score).dropna()
+def _replicated(counts: DataFrame, n: int, seed: int) -> DataFrame:
+    """Every score's counts drawn anew for each replicate: independent Poisson weights, whatever the partitions."""
+    d = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    for c in ("pos", "neg"):
+        d = poisson(d.withColumn(f"_{c}", F.col(c).cast("double")), f"_{c}", uniform(F.lit(seed), "replicate", "s", F.lit(c)), c)
+    return d.select("replicate", "s", "pos", "neg")
 
-    def run(rng, rows):
-        y = rows[truth].to_numpy()
-        return {"observed": _auc(y, rows[score].to_numpy()), "shuffled": _auc(rng.permutation(y), rows[score].to_numpy())}
 
-    r = replicates(d, n, run, "observed double, shuffled double", seed)
-    return r.agg(F.first("observed").alias("observed"), ((1 + F.count(F.when(F.col("shuffled") >= F.col("observed"), 1))) / (1 + F.count(F.lit(1)))).alias("p_value"))
+def bootstrap_auc(df: DataFrame, truth: str, score: str, n: int = 1000, seed: int = 1) -> DataFrame:
+    """auc_low, auc_median, auc_high, replicates: percentiles 2.5, 50 and 97.5 of the AUC over n resamples (Poisson bootstrap over counts by score and class). Replicates without one
+    of the classes are left out."""
+    r = _auc(_replicated(_counts(df, truth, score), n, seed), "replicate").where("auc is not null")
+    q = lambda p, name: F.percentile("auc", F.lit(p)).alias(name)
+    return r.agg(q(0.025, "auc_low"), q(0.5, "auc_median"), q(0.975, "auc_high"), F.count(F.lit(1)).alias("replicates"))
+
+
+def bootstrap_auc_difference(df: DataFrame, truth: str, a: str, b: str, key: str, n: int = 1000, seed: int = 1) -> DataFrame:
+    """difference (of a minus b over all rows with both), low, high, share_above (replicates above 0): rows are resampled as pairs, by one Poisson weight for each row and replicate."""
+    d = df.where(F.col(truth).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    w = d.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(n - 1)))).withColumn("_one", F.lit(1.0))
+    w = poisson(w, "_one", uniform(F.lit(seed), "replicate", key), "_w").withColumn("_w", F.when(F.col("replicate") < 0, 1).otherwise(F.col("_w"))).where("_w > 0")
+    one = lambda c: _auc(w.groupBy("replicate", F.col(c).cast("double").alias("s")).agg(F.sum(F.when(F.col(truth) == 1, F.col("_w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) != 1, F.col("_w")).otherwise(0)).alias("neg")), "replicate")
+    r = one(a).join(one(b).withColumnRenamed("auc", "_b"), "replicate").withColumn("_d", F.col("auc") - F.col("_b"))
+    drawn = F.when(F.col("replicate") >= 0, F.col("_d"))
+    return r.agg(F.max(F.when(F.col("replicate") < 0, F.col("_d"))).alias("difference"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"), F.avg((drawn > 0).cast("double")).alias("share_above"))
+
+
+def permutation_test(df: DataFrame, truth: str, score: str, key: str, n: int = 1000, seed: int = 1) -> DataFrame:
+    """observed, p_value: the AUC against labels dealt out anew by chance at the same share, (1 + at least as large) / (1 + replicates)."""
+    d = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).select(F.col(key).alias("_k"), (F.col(truth) == 1).cast("int").alias("_y"), F.col(score).cast("double").alias("s"))
+    share = d.agg(F.avg("_y").alias("_p"))
+    r = d.crossJoin(F.broadcast(share)).withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
+    drawn = F.when(F.col("replicate") < 0, F.col("_y") == 1).otherwise(uniform(F.lit(seed), "replicate", "_k") < F.col("_p"))
+    w = r.withColumn("_d", drawn).groupBy("replicate", "s").agg(F.count(F.when(F.col("_d"), 1)).alias("pos"), F.count(F.when(~F.col("_d"), 1)).alias("neg"))
+    g = _auc(w, "replicate")
+    seen = g.where("replicate < 0").select(F.col("auc").alias("observed"))
+    c = g.where("replicate >= 0 and auc is not null").crossJoin(F.broadcast(seen))
+    return c.agg(F.max("observed").alias("observed"), ((1 + F.count(F.when(F.col("auc") >= F.col("observed"), 1))) / (1 + F.count(F.lit(1)))).alias("p_value"))
 
 
 def network_days(alarms: DataFrame, key: str, day: str, within: int = 3, replicates: int = 500, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """day, entities, threshold, network_day: days near which more entities alarm than in (1 - alpha) of the maxima that cyclic shifts of
-    each entity's own alarms give."""
-    spark = alarms.sparkSession
-    rows = alarms.select(key, F.unix_date(day).alias("_d")).distinct().toPandas()  # one row for each alarm
-    if rows.empty:
-        return spark.createDataFrame([], "day date, entities int, threshold double, network_day boolean")
-    lo, hi = int(rows["_d"].min()), int(rows["_d"].max())
-    span = hi - lo + 1
-    hits = np.zeros((rows[key].nunique(), span), bool)
-    hits[rows[key].rank(method="dense").astype(int).to_numpy() - 1, rows["_d"].to_numpy() - lo] = True
-
-    def spread(h: np.ndarray) -> np.ndarray:
-        out = h.copy()
-        for s in range(1, within + 1):
-            out[:, s:] |= h[:, :-s]
-            out[:, :-s] |= h[:, s:]
-        return out.sum(0)
-
-    def work(batches):
-        for pdf in batches:
-            top = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                top.append(int(spread(np.stack([np.roll(r, rng.integers(span)) for r in hits])).max()))
-            yield pd.DataFrame({"top": top})
-
-    limit = spark.range(replicates).mapInPandas(work, "top int").agg(F.percentile("top", F.lit(1 - alpha)).alias("threshold"))
-    seen = spread(hits)
-    days = spark.createDataFrame([(lo + i, int(c)) for i, c in enumerate(seen)], "d int, entities int")
-    return days.crossJoin(F.broadcast(limit)).select(F.date_from_unix_date("d").alias("day"), "entities", "threshold", (F.col("entities") > F.col("threshold")).alias("network_day"))
+    """day, entities, threshold, network_day: days near which (at most `within` days away) more entities alarm than in (1 - alpha) of the maxima that cyclic shifts of each
+    entity's own alarms give. A shift is a hash of seed, replicate and entity; everything is counted by (replicate, day)."""
+    a = alarms.select(F.col(key).alias("_k"), F.unix_date(F.col(day)).alias("_d")).distinct()
+    ends = a.agg(F.min("_d").alias("_lo"), (F.max("_d") - F.min("_d") + 1).alias("_span"))  # one row
+
+    def near(d: DataFrame, by: list[str]) -> DataFrame:
+        spread = d.withColumn("_x", F.explode(F.sequence(F.col("_o") - within, F.col("_o") + within))).where((F.col("_x") >= 0) & (F.col("_x") < F.col("_span")))
+        return spread.select(*by, "_k", "_x").distinct().groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("entities"))
+
+    base = a.crossJoin(F.broadcast(ends)).withColumn("_o", F.col("_d") - F.col("_lo"))
+    shifts = base.select("_k", "_span").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    shifts = shifts.withColumn("_shift", F.pmod(hash32(F.lit(seed), "replicate", "_k"), F.col("_span")))
+    drawn = base.join(shifts.drop("_span"), "_k").withColumn("_o", F.pmod(F.col("_o") + F.col("_shift"), F.col("_span")).cast("int"))
+    top = near(drawn, ["replicate"]).groupBy("replicate").agg(F.max("entities").alias("_t"))
+    limit = top.agg(F.percentile("_t", F.lit(1 - alpha)).alias("threshold"))
+    seen = near(base, [])
+    days = ends.select("_lo", F.explode(F.sequence(F.lit(0), (F.col("_span") - 1).cast("int"))).alias("_x")).where("_lo is not null")
+    out = days.join(seen, "_x", "left").withColumn("entities", F.coalesce("entities", F.lit(0)).cast("int")).crossJoin(F.broadcast(limit))
+    return out.select(F.date_from_unix_date(F.col("_lo") + F.col("_x")).alias("day"), "entities", "threshold", (F.col("entities") > F.col("threshold")).alias("network_day"))
+
+
+def neighbour_permutation(pairs: DataFrame, flagged: DataFrame, key: str, flag: str, replicates: int = 500, seed: int = 1) -> DataFrame:
+    """pairs, both_flagged, expected, p_value: neighbour pairs flagged on both sides against flags dealt out by chance: in every replicate as many nodes as are flagged, those with the smallest hash
+    of seed, replicate and node (pairs: a, b)."""
+    f = flagged.select(F.col(key).alias("_k"), F.coalesce(F.col(flag), F.lit(False)).alias("_f"))
+    m = f.agg(F.count(F.when(F.col("_f"), 1)).alias("_m"))
+    r = f.crossJoin(F.broadcast(m)).withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    order = Window.partitionBy("replicate").orderBy(F.when(F.col("replicate") < 0, (~F.col("_f")).cast("bigint")).otherwise(hash32(F.lit(seed), "replicate", "_k")), "_k")  # one row for each node
+    drawn = r.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= F.col("_m")).select("replicate", "_k")
+    p = pairs.select("a", "b").distinct()
+    hit = p.join(drawn.withColumnRenamed("_k", "a"), "a").join(drawn.withColumnRenamed("_k", "b"), ["replicate", "b"]).groupBy("replicate").agg(F.count(F.lit(1)).alias("_n"))
+    all_ = r.select("replicate").distinct().join(hit, "replicate", "left").select("replicate", F.coalesce("_n", F.lit(0)).alias("_n"))
+    seen = all_.where("replicate < 0").select(F.col("_n").alias("both_flagged"))
+    c = all_.where("replicate >= 0").crossJoin(F.broadcast(seen)).agg(F.max("both_flagged").alias("both_flagged"), F.avg("_n").alias("expected"), ((1 + F.count(F.when(F.col("_n") >= F.col("both_flagged"), 1))) / (1 + F.count(F.lit(1)))).alias("p_value"))
+    return c.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("pairs")))).select("pairs", "both_flagged", "expected", "p_value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import winter_end_year
+from tidemark.functions.columns import hash32, winter_end_year
 
 
 def latest_season(df: DataFrame, key: str, season: Column, least_rows: int, least_entities: int) -> DataFrame:
@@ -52,7 +52,7 @@ def watched_string(df: DataFrame, key: str, day: str, start: str, days: int) ->
 def split_weeks(df: DataFrame, key: str, day: str, cut: str, share: int = 5) -> DataFrame:
     """df with part: test after the cut-off day; before it every share-th week by a hash of the week is validation, the rest training."""
     week = F.floor(F.datediff(day, F.lit("1970-01-05").cast("date")) / 7)
-    return df.withColumn("part", F.when(F.col(day) > F.lit(cut).cast("date"), "test").when(F.pmod(F.crc32(week.cast("string")), F.lit(share)) == 0, "validation").otherwise("training"))
+    return df.withColumn("part", F.when(F.col(day) > F.lit(cut).cast("date"), "test").when(hash32(week) % share == 0, "validation").otherwise("training"))
 
 
 def normalize_by_quantile(df: DataFrame, key: str, columns: list[str], q: float = 0.95, least: float = 1e-9) -> DataFrame:

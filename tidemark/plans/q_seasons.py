@@ -39,7 +39,7 @@ def watched_string(spark, sf):
     return N.watched_string(daily(spark, sf), "entity", "day", "2024-01-01", 30)
 
 
-@query("split_weeks", None)
+@query("split_weeks", f"SELECT CASE WHEN day > DATE '2000-01-01' THEN 'test' WHEN CAST('0x' || substr(md5(CAST(CAST(floor((day - DATE '1970-01-05') / 7.0) AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 THEN 'validation' ELSE 'training' END AS part, count(*) AS n FROM ({PANEL}) GROUP BY 1")
 def split_weeks(spark, sf):
     return N.split_weeks(panel(spark, sf), "entity", "day", "2000-01-01").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
