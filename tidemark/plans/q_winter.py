@@ -144,14 +144,14 @@ def degree_hours_by_winter(spark, sf):
     return W.degree_hours_by_winter(h, "day", "t_out").select("winter", F.round("degree_hours", 4).alias("degree_hours"), "hours")
 
 
-NORM = f"""d AS (SELECT entity, day, spread AS x, energy AS y, {LABEL} AS winter FROM ({PANEL})), s AS (SELECT entity, winter, count(*) AS n, max(x) - min(x) AS span FROM d WHERE winter <> '' GROUP BY 1, 2), g AS (SELECT d.* FROM d JOIN s USING (entity, winter) WHERE n >= 10 AND span >= 3),
+NORM = f"""d AS (SELECT entity, day, round(spread, 6) AS x, energy AS y, {LABEL} AS winter FROM ({PANEL})), s AS (SELECT entity, winter, count(*) AS n, max(x) - min(x) AS span FROM d WHERE winter <> '' GROUP BY 1, 2), g AS (SELECT d.* FROM d JOIN s USING (entity, winter) WHERE n >= 10 AND span >= 3),
 ts AS (SELECT a.entity, a.winter, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM g a JOIN g b ON a.entity = b.entity AND a.winter = b.winter AND b.x > a.x GROUP BY 1, 2), md AS (SELECT entity, winter, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM g GROUP BY 1, 2),
 m AS (SELECT s.*, slope, my - slope * mx + slope * 5 AS norm, entity % 7 <> 0 AS member FROM s LEFT JOIN ts USING (entity, winter) LEFT JOIN md USING (entity, winter)), w AS (SELECT winter, count(norm) FILTER (member) AS stations, quantile_cont(norm, 0.5) FILTER (member) AS median, mad(norm) FILTER (member) AS mad, stddev_samp(norm) FILTER (member) AS sd FROM m GROUP BY 1)"""
 
 
 @query("norm_value", f"WITH {NORM} SELECT entity, winter, n, round(span, 6) AS span, round(slope, 5) AS slope, round(norm, 5) AS norm, stations, round(CASE WHEN stations >= 3 THEN median END, 5) AS median, round(CASE WHEN stations >= 3 THEN (median - norm) / 1.15 END, 5) AS distance, round(CASE WHEN stations >= 3 THEN (median - norm) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN sd > 0 THEN sd END END, 4) AS z, CAST(CASE WHEN stations >= 3 AND member AND norm IS NOT NULL THEN rank() OVER (PARTITION BY winter, stations >= 3 AND member AND norm IS NOT NULL ORDER BY median - norm DESC) END AS INTEGER) AS rank FROM m JOIN w USING (winter)")
 def norm_value(spark, sf):
-    d = W.norm_value(panel(spark, sf), "entity", "day", "spread", "energy", 5.0, 10, 3.0, F.col("entity") % 7 != 0, 3)
+    d = W.norm_value(panel(spark, sf).withColumn("spread", F.round("spread", 6)), "entity", "day", "spread", "energy", 5.0, 10, 3.0, F.col("entity") % 7 != 0, 3)
     r5 = lambda *cs: [F.round(c, 5).alias(c) for c in cs]
     return d.select("entity", "winter", "n", *r6("span"), *r5("slope", "norm"), "stations", *r5("median", "distance"), F.round("z", 4).alias("z"), "rank")
 
