@@ -122,9 +122,10 @@ def fit_logistic(x: np.ndarray, hashed: np.ndarray, y: np.ndarray, ridge: float
     the features, weights of the rates)."""
     mean, scale = x.mean(0), x.std(0)
     mean[0], scale = 0, np.where(scale < 1e-9, 1, scale)
-    z = (x - mean) / scale
+    z = np.empty((len(x), x.shape[1] + hashed.shape[1]), np.float32)  # the one large matrix: SAMPLE rows of 12 kB
+    z[:, : x.shape[1]] = (x - mean) / scale
     z[:, 0] = 1
-    z = np.hstack([z.astype(np.float32), hashed])
+    z[:, x.shape[1] :] = hashed
     pen = np.full(z.shape[1], ridge)
     pen[0] = 1e-6
     v = np.ones(z.shape[1], np.float32)
@@ -152,6 +153,13 @@ def log_odds(model, column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    """Rows of equal size of a binary column, read in place."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE):
     """The document model, from at most `sample` labelled rows (the smallest hashes of the key: the same everywhere).
     None if the labels lack one of the classes: then no document has evidence of its own."""
@@ -170,9 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = rows.column("y").to_numpy()
     if len(np.unique(y)) < 2:
         return None
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float64).reshape(len(y), -1)
-    h = np.frombuffer(b"".join(rows.column("h").to_pylist()), np.float16).reshape(len(y), -1).astype(np.float32)
-    return *fit_logistic(x.copy(), h, y), float(np.log(y.mean() / (1 - y.mean())))
+    x = np.concatenate([_matrix(c, np.float64) for c in rows.column("x").chunks])
+    h = np.concatenate([_matrix(c, np.float16) for c in rows.column("h").chunks])
+    del rows
+    return *fit_logistic(x, h, y), float(np.log(y.mean() / (1 - y.mean())))
 
 
 def score(docs: DataFrame, model, keep: list[str], text: str = "text") -> DataFrame:
