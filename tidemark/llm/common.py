@@ -73,7 +73,14 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     with settings(spark, WRITING):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table that save() wrote and nothing will read again."""
+    _sweep(saved.sparkSession, saved._scratch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

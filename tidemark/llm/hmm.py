@@ -261,6 +261,7 @@ def train(texts: DataFrame, states: int, rounds: int) -> tuple[Model, list[float
         model = Model.from_counts(*counts)
         likelihoods.append(likelihood)
         LOG.info("Baum-Welch round %d: log-likelihood %.6g", i + 1, likelihood)
+    C.discard(table)  # the model is all that is needed from here on
     return model, likelihoods
 
 

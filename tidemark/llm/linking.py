@@ -46,6 +46,7 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
     weight = C.save(met.groupBy("id").agg(F.sum("c").alias("w")), "weight")
     full = C.save(fetch(weight.select("id")), "full")
     members = C.save(met.select("key", "id").join(weight, "id"), "members")
+    C.discard(met)
     pivots = C.save(members.groupBy("key").agg(F.max(F.struct("w", "id")).alias("y")).select("key", F.col("y.id").alias("y"), F.col("y.w").alias("yw")), "pivots")
     # one edge for each row: to the pivot that it shares most keys with
     joint = members.join(pivots, "key").where("id <> y").groupBy("id", "y").agg(F.count(F.lit(1)).alias("k"), F.max("yw").alias("yw"))
