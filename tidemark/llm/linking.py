@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-#: Rows of a block.
-BLOCK = 512
+#: Rows of a block; bytes of the rows of many small cells that a task compares at once.
+BLOCK, TOGETHER = 512, 1 << 20
 
 
 def verify_sets(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -90,8 +90,8 @@ def compare_blocks(rows: DataFrame, full: DataFrame, payload: str, sets_of, perc
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for t in groups(batches, 3):
-            x, y = cross_links(t, percent, sets_of)
+        for t, cell in whole_cells(batches, 3):
+            x, y = cross_links(t, cell, percent, sets_of)
             if len(x):
                 ids = t.column(4)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks(), ids.take(pa.array(y)).combine_chunks()], ["x", "y"])
@@ -99,41 +99,58 @@ def compare_blocks(rows: DataFrame, full: DataFrame, payload: str, sets_of, perc
     return ready.select("g", "lo", "hi", "b", "id", "label", payload).mapInArrow(run, f"x {kind}, y {kind}")
 
 
-def groups(batches, keys: int):
-    """Tables of rows that agree in the first `keys` columns, from batches in which such rows follow each other."""
+def whole_cells(batches, keys: int, most: int = TOGETHER):
+    """Tables of about `most` bytes, and each row's cell number, from batches in which rows of a cell (those that agree in the first `keys`
+    columns) follow each other. No cell is cut: one that is larger comes whole."""
     held: list[pa.Table] = []
-    last = None
+    cells: list[np.ndarray] = []
+    last, number = None, -1
     for batch in batches:
         t = pa.Table.from_batches([batch])
         if not len(t):
             continue
-        names = list(zip(*[t.column(i).to_pylist() for i in range(keys)]))
-        names = [repr(n) for n in names]
-        cut = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-        for a, b in zip(cut, cut[1:]):
-            if held and names[a] != last:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(t.slice(a, b - a))
-            last = names[a]
+        names = [repr(n) for n in zip(*[t.column(i).to_pylist() for i in range(keys)])]
+        new = np.array([n != m for n, m in zip(names, [last, *names])])
+        cell = number + np.cumsum(new)
+        last, number = names[-1], int(cell[-1])
+        step, a = max(1, len(t) * most // max(1, t.nbytes)), 0
+        for c in np.flatnonzero(new).tolist():
+            if sum(map(len, held)) + c - a >= step:
+                yield pa.concat_tables([*held, t.slice(a, c - a)]), np.concatenate([*cells, cell[a:c]])
+                held, cells, a = [], [], c
+        held.append(t.slice(a))
+        cells.append(cell[a:])
     if held:
-        yield pa.concat_tables(held)
+        yield pa.concat_tables(held), np.concatenate(cells)
 
 
-def cross_links(t: pa.Table, percent: int, sets_of) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of links between rows of different labels: one for each pair of labels. Columns: g, lo, hi, b, id, label, payload."""
-    n = len(t)
-    label = np.unique([repr(v) for v in t.column(5).to_pylist()], return_inverse=True)[1]
+def numbered(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values."""
+    seen: dict[str, int] = {}
+    return np.array([seen.setdefault(repr(v), len(seen)) for v in column.to_pylist()], np.int64)
+
+
+def cross_links(t: pa.Table, cell: np.ndarray, percent: int, sets_of) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links between rows of one cell and different labels: one for each pair of labels of a cell. Columns: g, lo, hi, b, id,
+    label, payload; rows of a cell follow each other."""
+    none = np.zeros(0, np.int64)
+    n, label = len(t), numbered(t.column(5))
     if n < 2 or label.max() == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     members, count = sets_of(t.column(6).combine_chunks())
-    code = np.unique(members, return_inverse=True)[1]
     row = np.repeat(np.arange(n), count)
+    # members are numbered cell by cell, and lie in order of these numbers
+    values, code = np.unique(members, return_inverse=True)
+    code = (cell[row] - cell[0]) * np.int64(len(values)) + code
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
     alive = np.ones(n, bool)
-    while True:
-        # what one row alone has is in no intersection; a row that is left with too little has no partner here
-        often = np.bincount(code, minlength=1)
-        keep = often[code] > 1
+    while len(row):
+        # a member that one label alone has is in no intersection that counts; a row that is left with too little has no partner in its cell
+        turn = np.concatenate([[True], code[1:] != code[:-1]])
+        first, of = np.flatnonzero(turn), label[row]
+        wanted = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
+        keep = wanted[np.cumsum(turn) - 1]
         row, code = row[keep], code[keep]
         stays = alive & (100 * np.bincount(row, minlength=n) >= percent * count)
         if (stays == alive).all():
@@ -141,29 +158,46 @@ def cross_links(t: pa.Table, percent: int, sets_of) -> tuple[np.ndarray, np.ndar
         alive = stays
         keep = alive[row]
         row, code = row[keep], code[keep]
-    if alive.sum() < 2 or (label[alive] == label[alive][0]).all():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.unique(code, return_inverse=True)[1]
-    spot = np.cumsum(alive) - 1
-    rows_left, row = np.flatnonzero(alive), spot[row]
-    b, lo, hi = t.column(3).to_numpy()[alive], t.column(1)[0].as_py(), t.column(2)[0].as_py()
-    n, label, count = len(rows_left), label[alive], count[alive]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(code, kind="stable")
+    left = np.flatnonzero(alive)
+    order = np.argsort(row, kind="stable")
     row, code = row[order], code[order]
-    top, width = int(code[-1]) + 1, min(4096, int(code[-1]) + 1)
-    for a in range(0, top, width):
-        i, j = np.searchsorted(code, [a, a + width])
-        m = np.zeros((n, width), np.float32)
-        m[row[i:j], code[i:j] - a] = 1
-        both += m @ m.T
+    b, lo, hi = (t.column(i).to_numpy() for i in (3, 1, 2))
+    xs, ys = [none], [none]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(cell[left])) + 1, [len(left)]])
+    for rows in (left[i:j] for i, j in zip(cut, cut[1:]) if j - i > 1):
+        if (label[rows] == label[rows[0]]).all():
+            continue
+        i, j = np.searchsorted(row, [rows[0], rows[-1] + 1])
+        apart = b[rows] if lo[rows[0]] != hi[rows[0]] else None
+        x, y = cell_links(np.searchsorted(rows, row[i:j]), code[i:j], count[rows], label[rows], apart, percent)
+        xs.append(rows[x])
+        ys.append(rows[y])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def cell_links(row: np.ndarray, code: np.ndarray, count: np.ndarray, label: np.ndarray, apart: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of different labels, one for each pair of labels; row and code: the members that may be in an intersection;
+    count: sizes of the full sets; apart: only rows that differ in it are compared."""
+    n = len(count)
+    both = np.zeros((n, n), np.float32)
+    if len(code):
+        code = np.unique(code, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        top = int(code[-1]) + 1
+        width = min(4096, top)
+        for a in range(0, top, width):
+            i, j = np.searchsorted(code, [a, a + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[i:j], code[i:j] - a] = 1
+            both += m @ m.T
     both = both.astype(np.int64)
     hit = 100 * both >= percent * (count[:, None] + count[None, :] - both)
-    if lo != hi:
-        hit &= b[:, None] != b[None, :]
+    if apart is not None:
+        hit &= apart[:, None] != apart[None, :]
     x, y = np.nonzero(np.triu(hit, 1) & (label[:, None] != label[None, :]))
     if len(x):
         pair = np.minimum(label[x], label[y]) * np.int64(label.max() + 1) + np.maximum(label[x], label[y])
         first = np.unique(pair, return_index=True)[1]
         x, y = x[first], y[first]
-    return rows_left[x], rows_left[y]
+    return x, y
