@@ -275,6 +275,29 @@ def test_near_duplicates_of_nothing(docs, spark):
     assert got == sorted([(1, 2, 1, True), (2, 0, 2, True), (2, 0, 2, True), (None, 2, None, None)], key=repr)
 
 
+def test_chained_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
+    """Chains of edits with more rows than a block (of 3 here): the components are those of brute force."""
+    from tidemark.llm import linking
+    from tidemark.llm.minhash import near_duplicates
+
+    rows = []
+    for c, step in enumerate((1, 2, 2, 1, 3)):
+        words = [f"c{c}w{i}" for i in range(60)]
+        for j in range(8):
+            rows.append((c * 100 + j, " ".join(words)))
+            for e in range(step):
+                words[(7 * (j * step + e)) % 60] = f"e{c}x{j}x{e}"
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    at = least_reachable(list(sets), links)
+    calls, compare = [], linking.compare_blocks
+    monkeypatch.setattr(linking, "BLOCK", 3)
+    monkeypatch.setattr(linking, "compare_blocks", lambda *a: calls.append(a[0].count()) or compare(*a))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == at and len(set(at.values())) > 5
+    assert len(calls) == 2 and calls[1] > 3
+
+
 def test_lines_equal_brute_force(spark):
     from tidemark.llm.lines import dedup_lines, fuzzy_lines
 

@@ -4,7 +4,8 @@ First every row of a bucket is compared with the bucket's pivot (one edge for ea
 large, in linear work. The pivot is the row that meets most others in its buckets: in a group of edited copies the one that
 is edited least, which has the most links. Buckets whose rows are then in one component are done. Rows of the others are
 gathered by the components of what they still share, dealt into blocks, and compared block with block on their full sets
-inside a task: no pair is emitted but a link that joins two components. So no candidate pair is left untested unless its
+inside a task: no pair is emitted but a link that joins two components. Where chains of buckets gather more rows than a block
+has, which grow with the input, the rows are compared bucket by bucket instead. So no candidate pair is left untested unless its
 ends are connected already, and the components are those of all candidate pairs.
 """
 
@@ -62,13 +63,26 @@ def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Calla
         return found
     gathered = C.components(open_, "id", "y").select(F.col("node").alias("id"), F.col("component").alias("g"))
     rows = C.save(open_.select("id", "label").distinct().join(gathered, "id"), "rows")
-    # most groups are two rows that have been compared above and are no link
+    tested = C.save(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "tested")
+    large = C.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("g"), "large")
+    few = unsettled(C.save(rows.join(large, "g", "left_anti"), "rows"), tested)
+    more = C.save(compare_blocks(few, full, payload, sets_of, percent, BLOCK), "links")
+    if not large.isEmpty():
+        chained = rows.join(large, "g").select("id")
+        buckets = C.save(named.join(mixed.select("key"), "key").join(chained, "id").select(F.col("key").alias("g"), "id", "label"), "buckets")
+        # buckets of the same rows are compared once
+        same = buckets.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("i"))
+        one = C.save(same.groupBy("c", "lo", "hi", "h", "i").agg(F.min("g").alias("g")).select("g"), "one")
+        rest = unsettled(C.save(buckets.join(one, "g"), "buckets"), tested)
+        more = more.union(C.save(compare_blocks(rest, full, payload, sets_of, percent, BLOCK), "links"))
+    return C.components(links.union(more), "x", "y")
+
+
+def unsettled(rows: DataFrame, tested: DataFrame) -> DataFrame:
+    """rows (id, label, g) without the groups of two that are an edge in tested (x < y): most groups are two rows that are no link."""
     twos = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("c = 2")
-    tested = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     settled = C.save(twos.join(tested, ["x", "y"]).select("g").distinct(), "settled")
-    rows = C.save(rows.join(settled, "g", "left_anti"), "rows")
-    more = C.save(compare_blocks(rows, full, payload, sets_of, percent), "links")
-    return C.components(links.union(more), "x", "y")
+    return C.save(rows.join(settled, "g", "left_anti").select("id", "label", "g"), "rows")
 
 
 def compare_blocks(rows: DataFrame, full: DataFrame, payload: str, sets_of, percent: int, block: int = BLOCK) -> DataFrame:
