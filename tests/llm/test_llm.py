@@ -298,6 +298,33 @@ def test_chained_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
     assert len(calls) == 2 and calls[1] > 3
 
 
+@pytest.mark.parametrize("chunk, buckets", [(7, 5), (1000, 1), (40, 300)])
+def test_packed_keys_give_all_meetings(spark, chunk, buckets):
+    """Rows that share a key, by brute force: with a key of a third of all rows, repeated rows, and keys within and across chunks."""
+    import numpy as np
+
+    from tidemark.llm import linking
+
+    rng = np.random.default_rng(chunk)
+    rows = [(i, [-9 if i % 3 == 0 else i + 10**6, int(rng.integers(0, 150)), -int(rng.integers(10, 10**4))]) for i in range(200)]
+    rows += rows[50:90] + rows[:5]
+    keyed = {(k, i) for i, ks in rows for k in ks}
+    by_key = {}
+    for k, i in keyed:
+        by_key.setdefault(k, set()).add(i)
+    want = sorted((k, i) for k, i in keyed if len(by_key[k]) > 1)
+    reps = spark.createDataFrame(rows, "id bigint, keys array<bigint>").repartition(3)
+
+    def run(batches):
+        parts = ((b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.int64).reshape(-1, 3)) for b in batches if len(b))
+        return linking.pack_keys(parts, buckets, chunk)
+
+    got = linking.packed_meetings(reps.mapInArrow(run, linking.PACKED), buckets).select("key", "id")
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, linking.meetings(reps).distinct().collect())) == want
+    assert linking.packed_meetings(reps.limit(0).mapInArrow(run, linking.PACKED), buckets).count() == 0
+
+
 def test_lines_equal_brute_force(spark):
     from tidemark.llm.lines import dedup_lines, fuzzy_lines
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
-from tidemark.llm.linking import link
+from tidemark.llm.linking import BUCKET, PACKED, link, pack_keys, packed_meetings
 
 #: Characters of a shingle; minima of a band; bands. At similarity 0.8 a pair shares a band with probability 0.997, at 0.85 with 0.9995.
 SHINGLE, ROWS, BANDS = 9, 3, 8
@@ -130,31 +130,41 @@ def _line_parts(column: pa.Array):
         yield i, low, cut, owner, number
 
 
-def band_columns(bands: int) -> list[str]:
-    return [f"b{i}" for i in range(bands)]
-
-
-def line_table(docs: DataFrame, key: str, text: str, least: int, k: int, rows: int, bands: int) -> DataFrame:
-    """id, line, size, node (64-bit print of the normalized line), b0, b1, ... (bands; null for lines below least bytes or k characters):
-    one row per line."""
-    names = band_columns(bands)
+def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, line, size, node (64-bit print of the normalized line): one row per line."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i, low, cut, owner, number in _line_parts(batch.column(1)):
-                size, raw, ends = np.diff(cut), low.tobytes(), cut.tolist()
-                prints = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends, ends[1:])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(prints(low, cut))], ["id", "line", "size", "node"])
+
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, node bigint")
+
+
+def prints(low: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """64 bits for each line."""
+    raw, ends = low.tobytes(), cut.tolist()
+    return np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends, ends[1:])]), np.int64)
+
+
+def line_bands(docs: DataFrame, text: str, least: int, k: int, rows: int, bands: int, buckets: int) -> DataFrame:
+    """The bands of all lines of at least `least` bytes and k characters, packed by bucket with the lines' nodes. They are never a table of
+    their own: what two lines do not share ends in its bucket."""
+
+    def parts(batches):
+        for batch in batches:
+            for _, low, cut, _, _ in _line_parts(batch.column(0)):
                 sets, count = char_shingles(low, cut, k, short=True)
-                m = minima(sets, count, rows * bands).astype(C.U)
-                keys = np.broadcast_to(np.arange(bands, dtype=C.U), (len(size), bands))
-                for r in range(rows):
-                    keys = C.mix(keys * C.U(3) + m[:, r::rows] + C.U(1))
-                none = (size < least) | (count == 0)
-                columns = [pa.array(C.as_long(keys[:, i]), mask=none) for i in range(bands)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + i)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.frombuffer(prints, np.int64)), *columns], ["id", "line", "size", "node", *names])
+                some = np.flatnonzero((np.diff(cut) >= least) & (count > 0))
+                if len(some):
+                    m = minima(sets, count, rows * bands)[some].astype(C.U)
+                    keys = np.broadcast_to(np.arange(bands, dtype=C.U), (len(some), bands))
+                    for r in range(rows):
+                        keys = C.mix(keys * C.U(3) + m[:, r::rows] + C.U(1))
+                    yield prints(low, cut)[some], keys
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line int, size int, node bigint, " + ", ".join(f"{b} bigint" for b in names))
+    return docs.select(text).mapInArrow(lambda batches: pack_keys(parts(batches), buckets), PACKED)
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -219,11 +229,10 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     similar ones too (a shorter one is a single shingle, which only equal lines share). Of equal rows of one key only the first line in order is marked kept once for each row:
     rows of one key share their decisions. Only key and text are read, so other columns cannot clash.
     """
-    lines = C.save(line_table(docs, key, text, least, k, rows, bands), "lines")
+    lines = C.save(line_table(docs, key, text), "lines")
     taken = (F.col("size") >= max(least, 1)) & F.col("id").isNotNull()
-    names = band_columns(bands)
-    # equal lines have equal bands: one row for each node, by hash aggregation
-    reps = lines.where(taken & F.col("b0").isNotNull()).groupBy("node").agg(*[F.max(b).alias(b) for b in names]).select(F.col("node").alias("id"), F.array(*names).alias("keys"))
+    buckets = max(1, -(-lines.count() * bands // BUCKET))
+    meet = packed_meetings(line_bands(docs.where(F.col(key).isNotNull()), text, max(least, 1), k, rows, bands, buckets), buckets)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     # places in order of documents, as one number where the key is one
     whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -240,7 +249,7 @@ def fuzzy_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         wanted = one.select(doc_of(F.col("p")).alias("id"), F.struct(line_of(F.col("p")).alias("line"), "node").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
         return line_texts(texts.join(wanted, "id"))
 
-    found = link(reps, fetch, lambda edges, full: verify_raw(edges, full, percent, k), "raw", lambda column: raw_members(column, k), percent).withColumnRenamed("node", "linked")
+    found = link(meet, fetch, lambda edges, full: verify_raw(edges, full, percent, k), "raw", lambda column: raw_members(column, k), percent).withColumnRenamed("node", "linked")
     # places are settled among nodes, whose copies have been counted with partial sums; lines meet their node's place last, in a join of two
     # plain shuffles, which Spark splits where a line is very common
     nodes = C.save(lines.where(taken).groupBy("node").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")), "nodes")

@@ -22,6 +22,102 @@ from tidemark.llm import common as C
 
 #: Rows of a block; bytes of the rows of many small cells that a task compares at once.
 BLOCK, TOGETHER = 512, 1 << 20
+#: Rows whose keys a task looks through before they are sent; keys of a bucket.
+CHUNK, BUCKET = 50_000, 500_000
+#: What an entry of a bucket is: a row alone with its key in its chunk; the first of several rows; another one, whose key is shared for sure.
+ALONE, FIRST, OTHER = 0, 1, 2
+
+
+def pack_keys(parts, buckets: int, chunk: int = CHUNK):
+    """Record batches (bucket, kind, keys, ids) of the keys of many rows, from pairs of arrays: ids (long) and keys (rows x tables).
+
+    A bucket's entries travel as one value. Of the rows of a chunk that have one key only the first goes to the key's bucket; the others
+    are spread over all buckets, so that a key of very many rows fills none."""
+    held, n = [], 0
+    for ids, keys in parts:
+        held.append((ids, keys))
+        n += len(ids)
+        if n >= chunk:
+            yield _packed(held, buckets)
+            held, n = [], 0
+    if n:
+        yield _packed(held, buckets)
+
+
+def _packed(held, buckets: int) -> pa.RecordBatch:
+    ids, first = np.unique(np.concatenate([i for i, _ in held]), return_index=True)
+    keys = np.concatenate([k for _, k in held])[first].view(C.U)
+    key, row = keys.ravel(), np.repeat(ids, keys.shape[1])
+    order = np.argsort(key)
+    key, row = key[order], row[order]
+    again = np.zeros(len(key) + 1, bool)
+    again[1:-1] = key[1:] == key[:-1]
+    kind = np.where(again[:-1], OTHER, np.where(again[1:], FIRST, ALONE)).astype(np.int8)
+    bucket = np.where(kind == OTHER, np.arange(len(key), dtype=C.U), C.mix(key)) % C.U(buckets)
+    at = (bucket * C.U(3) + kind.astype(C.U)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, key, row = at[order], key[order], row[order]
+    cut = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(at)]
+    spans = list(zip(cut, cut[1:]))
+    head = at[cut[:-1]]
+    columns = [pa.array((head // 3).astype(np.int32)), pa.array((head % 3).astype(np.int8)), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (key, row))]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "keys", "ids"])
+
+
+PACKED = "bucket int, kind tinyint, keys binary, ids binary"
+
+
+def packed_meetings(packed: DataFrame, buckets: int) -> DataFrame:
+    """key, id of all rows that share a key with another, from what pack_keys gives: each key is looked at once, and keys of one row alone,
+    which most are, never become rows of a table."""
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            for bucket, kind, keys, ids in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                entry = np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)
+                if kind == OTHER:
+                    yield _entries(*entry)
+                    continue
+                if bucket != last and held:
+                    yield _shared(held)
+                    held = []
+                last = bucket
+                held.append((*entry, np.full(len(entry[0]), kind == FIRST)))
+        if held:
+            yield _shared(held)
+
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "key bigint, id bigint").distinct()
+
+
+def _entries(key: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row)], ["key", "id"])
+
+
+def _shared(held) -> pa.RecordBatch:
+    key, row, sure = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    some = ~(new[:-1] & new[1:]) | sure[order]  # of several chunks, or of several rows of one
+    key, order = key[some], order[some]
+    row, sure = row[order], sure[order]
+    if not len(key):
+        return _entries(key, row)
+    group = np.flatnonzero(new[:-1][some])
+    keep = np.logical_or.reduceat(sure, group) | (np.minimum.reduceat(row, group) < np.maximum.reduceat(row, group))
+    keep = np.repeat(keep, np.diff([*group, len(key)]))
+    return _entries(key[keep], row[keep])
+
+
+def meetings(reps: DataFrame) -> DataFrame:
+    """key, id of all rows (id, keys: array of bucket keys) that share a key with another."""
+    # A key may hold a third of all rows: keys are counted with partial sums, and what is known of a key is a table of its own before the
+    # rows meet it, so that both sides of the join are plain shuffles, which Spark splits where a key is hot.
+    keyed = reps.select("id", F.explode("keys").alias("key"))
+    shared = C.save(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
+    return keyed.join(shared, "key").select("key", "id")
 
 
 def verify_sets(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -32,19 +128,17 @@ def verify_sets(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sx") + F.size("sy") - F.col("i"))).select("x", "y")
 
 
-def link(reps: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], payload: str, sets_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+def link(meet: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], payload: str, sets_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
     """node, component of all representatives that a verified link joins.
 
-    reps: id and keys (array of bucket keys). fetch(ids) gives a table with id and the column `payload`; it is asked once, for the
-    rows that share a bucket with another. verify(edges, table) keeps the edges (x, y) that are links. sets_of(payload
+    meet: key and id of the rows that share a bucket with another (see meetings and packed_meetings). fetch(ids) gives a table with id and
+    the column `payload`; it is asked once, for these rows. verify(edges, table) keeps the edges (x, y) that are links. sets_of(payload
     column) gives the rows' distinct members, one row after the other, and how many each has.
     """
-    # A key may hold a third of all rows: keys are counted with partial sums, and what is known of a key is a table of its own before the
-    # rows meet it, so that both sides of the join are plain shuffles, which Spark splits where a key is hot.
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    shared = C.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "c"), "shared")
-    met = C.save(keyed.join(shared, "key"), "met")
-    weight = C.save(met.groupBy("id").agg(F.sum("c").alias("w")), "weight")
+    met = C.save(meet, "met")
+    # what is known of a key is a table of its own before the rows meet it, here as well
+    shared = C.save(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "shared")
+    weight = C.save(met.join(shared, "key").groupBy("id").agg(F.sum("c").alias("w")), "weight")
     full = C.save(fetch(weight.select("id")), "full")
     members = C.save(met.select("key", "id").join(weight, "id"), "members")
     C.discard(met)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
-from tidemark.llm.linking import link, verify_sets
+from tidemark.llm.linking import link, meetings, verify_sets
 
 SEED = 20_011
 
@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     reps = classes.select(F.col("rep").alias("id"), keys.alias("keys"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     # a key may have several rows: each of its sets is there to be compared
-    found = link(reps, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi"), k), lambda edges, sets: verify_sets(edges, sets, percent), "set", list_members, percent)
+    found = link(meetings(reps), lambda ids: shingle_sets(texts.join(ids, "id", "left_semi"), k), lambda edges, sets: verify_sets(edges, sets, percent), "set", list_members, percent)
     # nodes of several sets (repeated keys) are joined through the key as well
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("cn"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     # saved, so that the join has plain shuffles on both sides and a large group of equal texts is split
