@@ -117,15 +117,18 @@ def features_of(column: pa.Array) -> np.ndarray:
     return np.concatenate([features(*p) for p in pieces_of(column)] or [np.zeros((0, len(FEATURES)))])
 
 
-def fit_logistic(x: np.ndarray, hashed: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400):
-    """Ridge-penalised logistic regression on standardized features and hashed rates by accelerated gradient steps: (mean, scale, weights of
-    the features, weights of the rates)."""
+def fit_logistic(x: np.ndarray, hashed, y: np.ndarray, ridge: float = 1.0, rounds: int = 400):
+    """Ridge-penalised logistic regression on standardized features and hashed rates (an iterable of blocks of rows, each read once) by
+    accelerated gradient steps: (mean, scale, weights of the features, weights of the rates)."""
     mean, scale = x.mean(0), x.std(0)
     mean[0], scale = 0, np.where(scale < 1e-9, 1, scale)
-    z = np.empty((len(x), x.shape[1] + hashed.shape[1]), np.float32)  # the one large matrix: SAMPLE rows of 12 kB
+    z = np.empty((len(x), x.shape[1] + WORDS + RUNS), np.float32)  # the one large matrix: SAMPLE rows of 12 kB
     z[:, : x.shape[1]] = (x - mean) / scale
     z[:, 0] = 1
-    z[:, x.shape[1] :] = hashed
+    at = 0
+    for block in hashed:
+        z[at : at + len(block), x.shape[1] :] = block
+        at += len(block)
     pen = np.full(z.shape[1], ridge)
     pen[0] = 1e-6
     v = np.ones(z.shape[1], np.float32)
@@ -153,13 +156,6 @@ def log_odds(model, column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _matrix(column: pa.Array, kind) -> np.ndarray:
-    """Rows of equal size of a binary column, read in place."""
-    column = column.cast(pa.large_binary())
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
-
-
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE):
     """The document model, from at most `sample` labelled rows (the smallest hashes of the key: the same everywhere).
     None if the labels lack one of the classes: then no document has evidence of its own."""
@@ -171,17 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             y = batch.column(0).to_numpy()
             x = features_of(batch.column(1))
             h = np.concatenate([rates(*p) for p in pieces_of(batch.column(1))] or [np.zeros((0, WORDS + RUNS))]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in h], pa.binary())], ["y", "x", "h"])
+            for i in range(0, len(y), 500):
+                block = y[i : i + 500].tobytes(), x[i : i + 500].tobytes(), pa.compress(h[i : i + 500].tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in block], ["y", "x", "h"])
 
-    # the sample is bounded, and so are its broadcast (16 bytes a row) and what comes back (6 kB a row)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").select("_y", "_t").limit(sample).mapInArrow(run, "y double, x binary, h binary").toArrow()
-    y = rows.column("y").to_numpy()
+    # the sample is bounded, and so are its broadcast (16 bytes a row) and what comes back (6 kB a row, less by compression), a block a batch
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").select("_y", "_t").limit(sample).mapInArrow(run, "y binary, x binary, h binary").toArrow()
+    blocks = rows.to_pylist()
+    del rows
+    y = np.concatenate([np.frombuffer(b["y"]) for b in blocks] or [np.zeros(0)])
     if len(np.unique(y)) < 2:
         return None
-    x = np.concatenate([_matrix(c, np.float64) for c in rows.column("x").chunks])
-    h = np.concatenate([_matrix(c, np.float16) for c in rows.column("h").chunks])
-    del rows
-    return *fit_logistic(x, h, y), float(np.log(y.mean() / (1 - y.mean())))
+    x = np.concatenate([np.frombuffer(b["x"]).reshape(-1, len(FEATURES)) for b in blocks])
+
+    def hashed():
+        for b in blocks:
+            n = len(b["y"]) // 8
+            yield np.frombuffer(pa.decompress(b.pop("h"), n * (WORDS + RUNS) * 2, "zstd"), np.float16).reshape(n, -1)
+
+    return *fit_logistic(x, hashed(), y), float(np.log(y.mean() / (1 - y.mean())))
 
 
 def score(docs: DataFrame, model, keep: list[str], text: str = "text") -> DataFrame:
