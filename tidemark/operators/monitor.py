@@ -78,8 +78,10 @@ def persistent(df: DataFrame, key: str, day: str, flag: Column, window: int = 14
 
 
 def rolling_corr(df: DataFrame, key: str, day: str, x: str, y: str, window: int = 14, least: int = 10) -> DataFrame:
+    """df with `corr` of x and y over the last `window` days; NULL below `least` rows and where x or y does not vary."""
     w = Window.partitionBy(key).orderBy(F.unix_date(F.col(day))).rangeBetween(-(window - 1), 0)
-    return df.withColumn("corr", F.when(F.count(F.lit(1)).over(w) >= least, F.corr(x, y).over(w)))
+    r = F.try_divide(F.regr_sxy(y, x).over(w), F.sqrt(F.regr_sxx(y, x).over(w) * F.regr_syy(y, x).over(w)))  # corr raises where x or y is constant
+    return df.withColumn("corr", F.when(F.count(F.lit(1)).over(w) >= least, r))
 
 
 def centred_median(df: DataFrame, key: str, day: str, x: str, before: int, after: int, least: int) -> DataFrame:
