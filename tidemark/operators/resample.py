@@ -85,21 +85,27 @@ def permutation_test(df: DataFrame, truth: str, score: str, key: str, n: int = 1
 
 def network_days(alarms: DataFrame, key: str, day: str, within: int = 3, replicates: int = 500, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """day, entities, threshold, network_day: days near which (at most `within` days away) more entities alarm than in (1 - alpha) of the maxima that cyclic shifts of each
-    entity's own alarms give. A shift is a hash of seed, replicate and entity; everything is counted by (replicate, day)."""
+    entity's own alarms give. A shift is a hash of seed, replicate and entity; everything is counted by (replicate, day). An entity is one row with all its days, so a shift is worked out once and
+    nothing is joined; a day near several alarms of an entity is left to the first of them, so nothing is made distinct."""
     a = alarms.select(F.col(key).alias("_k"), F.unix_date(F.col(day)).alias("_d")).distinct()
     ends = a.agg(F.min("_d").alias("_lo"), (F.max("_d") - F.min("_d") + 1).alias("_span"))  # one row
+    base = a.where("_d is not null").crossJoin(F.broadcast(ends)).groupBy("_k", "_span").agg(F.array_sort(F.collect_list(F.col("_d") - F.col("_lo"))).alias("_os"))
+    before = lambda o, i: F.coalesce(F.get("_os", i - 1), F.element_at("_os", -1) - F.col("_span"))
+    base = base.select("_k", "_span", F.transform("_os", lambda o, i: F.struct(o.alias("o"), (o - before(o, i)).alias("gap"))).alias("_os"))
 
     def near(d: DataFrame, by: list[str]) -> DataFrame:
-        spread = d.withColumn("_x", F.explode(F.sequence(F.col("_o") - within, F.col("_o") + within))).where((F.col("_x") >= 0) & (F.col("_x") < F.col("_span")))
-        return spread.select(*by, "_k", "_x").distinct().groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("entities"))
-
-    base = a.crossJoin(F.broadcast(ends)).withColumn("_o", F.col("_d") - F.col("_lo"))
-    shifts = base.select("_k", "_span").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    shifts = shifts.withColumn("_shift", F.pmod(hash32(F.lit(seed), "replicate", "_k"), F.col("_span")))
-    drawn = base.join(shifts.drop("_span"), "_k").withColumn("_o", F.pmod(F.col("_o") + F.col("_shift"), F.col("_span")).cast("int"))
+        """by, _x, entities of (by, _span, _shift, _os)."""
+        d = d.select(*by, "_span", "_shift", F.explode("_os").alias("_e")).select(*by, "_span", F.pmod(F.col("_e.o") + F.col("_shift"), F.col("_span")).cast("int").alias("_o"), F.col("_e.gap").alias("_gap"))
+        behind = F.when(F.col("_o") >= F.col("_gap"), F.col("_o") - F.col("_gap") + within + 1)  # the first day that the alarm before, if there is one, does not take
+        d = d.select(*by, F.greatest(F.lit(0), F.col("_o") - within, behind).alias("_a"), F.least(F.col("_span") - 1, F.col("_o") + within).alias("_b"))
+        g = d.where("_a <= _b").groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))  # few rows, whatever the number of entities
+        return g.withColumn("_x", F.explode(F.sequence("_a", "_b"))).groupBy(*by, "_x").agg(F.sum("_n").alias("entities"))
+
+    drawn = base.where("_k is not null").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("_shift", F.pmod(hash32(F.lit(seed), "replicate", "_k"), F.col("_span")))
     top = near(drawn, ["replicate"]).groupBy("replicate").agg(F.max("entities").alias("_t"))
     limit = top.agg(F.percentile("_t", F.lit(1 - alpha)).alias("threshold"))
-    seen = near(base, [])
+    seen = near(base.withColumn("_shift", F.lit(0)), [])
     days = ends.select("_lo", F.explode(F.sequence(F.lit(0), (F.col("_span") - 1).cast("int"))).alias("_x")).where("_lo is not null")
     out = days.join(seen, "_x", "left").withColumn("entities", F.coalesce("entities", F.lit(0)).cast("int")).crossJoin(F.broadcast(limit))
     return out.select(F.date_from_unix_date(F.col("_lo") + F.col("_x")).alias("day"), "entities", "threshold", (F.col("entities") > F.col("threshold")).alias("network_day"))
