@@ -104,7 +104,10 @@ def network_days(alarms: DataFrame, key: str, day: str, within: int = 3, replica
     drawn = base.where("_k is not null").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = drawn.withColumn("_shift", F.pmod(hash32(F.lit(seed), "replicate", "_k"), F.col("_span")))
     top = near(drawn, ["replicate"]).groupBy("replicate").agg(F.max("entities").alias("_t"))
-    limit = top.agg(F.percentile("_t", F.lit(1 - alpha)).alias("threshold"))
+    # one number a replicate; lo + (hi - lo) * share, rounded as in the SQL, where percentile weighs both ends
+    at = (F.size("_ts") - 1) * F.lit(1 - alpha)
+    lo, hi = [F.get("_ts", f(at).cast("int")) for f in (F.floor, F.ceil)]
+    limit = top.agg(F.array_sort(F.collect_list(F.col("_t").cast("double"))).alias("_ts")).select((lo + (hi - lo) * (at - F.floor(at))).alias("threshold"))
     seen = near(base.withColumn("_shift", F.lit(0)), [])
     days = ends.select("_lo", F.explode(F.sequence(F.lit(0), (F.col("_span") - 1).cast("int"))).alias("_x")).where("_lo is not null")
     out = days.join(seen, "_x", "left").withColumn("entities", F.coalesce("entities", F.lit(0)).cast("int")).crossJoin(F.broadcast(limit))
