@@ -55,7 +55,7 @@ def _pos(spark, sf):
 
 @query("radius_pairs", f"WITH {NEAR} SELECT a, b, round(m, 3) AS metres FROM q")
 def radius_pairs(spark, sf):
-    return G.radius_pairs(_pos(spark, sf), "k", "lat", "lon", 2000).select("a", "b", F.round("metres", 3).alias("metres"))
+    return G.radius_pairs(_pos(spark, sf), "k", "lat", "lon", 2000, digits=3)
 
 
 @query("neighbour_join_count", f"WITH {NEAR}, c AS (SELECT count(*) AS pairs, count(*) FILTER (x.flag AND y.flag) AS both_flagged FROM q JOIN p x ON x.k = q.a JOIN p y ON y.k = q.b), n AS (SELECT count(*) AS n, count(*) FILTER (flag) AS m FROM p) SELECT pairs, both_flagged, round(pairs * CAST(m * (m - 1) AS DOUBLE) / (n * (n - 1)), 6) AS expected FROM c, n")
