@@ -61,7 +61,8 @@ def radius_pairs(spark, sf):
 @query("neighbour_join_count", f"WITH {NEAR}, c AS (SELECT count(*) AS pairs, count(*) FILTER (x.flag AND y.flag) AS both_flagged FROM q JOIN p x ON x.k = q.a JOIN p y ON y.k = q.b), n AS (SELECT count(*) AS n, count(*) FILTER (flag) AS m FROM p) SELECT pairs, both_flagged, round(pairs * CAST(m * (m - 1) AS DOUBLE) / (n * (n - 1)), 6) AS expected FROM c, n")
 def neighbour_join_count(spark, sf):
     p = _pos(spark, sf)
-    return G.joint_flags(G.radius_pairs(p, "k", "lat", "lon", 2000), p, "k", "flag").select("pairs", "both_flagged", *r6("expected"))
+    members, links = G.near_places(p, "k", "lat", "lon", 2000)
+    return G.joint_flags(links, p, "k", "flag", members).select("pairs", "both_flagged", *r6("expected"))
 
 
 @query("neighbour_table", f"WITH {NEAR}, b AS (SELECT a, b FROM q UNION SELECT b, a FROM q) SELECT b.a AS k, count(*) AS neighbours, count(*) FILTER (p.flag) AS flagged_neighbours, coalesce(string_agg(CAST(b.b AS VARCHAR), ',' ORDER BY b.b) FILTER (p.flag), '') AS which FROM b JOIN p ON p.k = b.b GROUP BY 1")
