@@ -68,7 +68,8 @@ def neighbour_join_count(spark, sf):
 @query("neighbour_table", f"WITH {NEAR}, b AS (SELECT a, b FROM q UNION SELECT b, a FROM q) SELECT b.a AS k, count(*) AS neighbours, count(*) FILTER (p.flag) AS flagged_neighbours, coalesce(string_agg(CAST(b.b AS VARCHAR), ',' ORDER BY b.b) FILTER (p.flag), '') AS which FROM b JOIN p ON p.k = b.b GROUP BY 1")
 def neighbour_table(spark, sf):
     p = _pos(spark, sf)
-    return G.neighbour_table(G.radius_pairs(p, "k", "lat", "lon", 2000), p, "k", "flag")
+    members, links = G.near_places(p, "k", "lat", "lon", 2000)
+    return G.neighbour_table(links, p, "k", "flag", members)
 
 
 NORM = r"trim(regexp_replace(replace(replace(replace(replace(lower({x}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
