@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hash32
+from tidemark.operators.graph import pairs_of
 
 
 def _counts(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -114,17 +115,24 @@ def network_days(alarms: DataFrame, key: str, day: str, within: int = 3, replica
     return out.select(F.date_from_unix_date(F.col("_lo") + F.col("_x")).alias("day"), "entities", "threshold", (F.col("entities") > F.col("threshold")).alias("network_day"))
 
 
-def neighbour_permutation(pairs: DataFrame, flagged: DataFrame, key: str, flag: str, replicates: int = 500, seed: int = 1) -> DataFrame:
+def neighbour_permutation(pairs: DataFrame, flagged: DataFrame, key: str, flag: str, replicates: int = 500, seed: int = 1, members: DataFrame | None = None) -> DataFrame:
     """pairs, both_flagged, expected, p_value: neighbour pairs flagged on both sides against flags dealt out by chance: in every replicate as many nodes as are flagged, those with the smallest hash
-    of seed, replicate and node (pairs: a, b)."""
+    of seed, replicate and node (pairs: a, b). With members (k, place; a key has one place) the pairs are links between places, as in graph.joint_flags, and counted by (replicate, place)."""
     f = flagged.select(F.col(key).alias("_k"), F.coalesce(F.col(flag), F.lit(False)).alias("_f"))
     m = f.agg(F.count(F.when(F.col("_f"), 1)).alias("_m"))
-    r = f.crossJoin(F.broadcast(m)).withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    every = F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("replicate")
+    r = f.crossJoin(F.broadcast(m)).select("*", every)
     order = Window.partitionBy("replicate").orderBy(F.when(F.col("replicate") < 0, (~F.col("_f")).cast("bigint")).otherwise(hash32(F.lit(seed), "replicate", "_k")), "_k")  # one row for each node
     drawn = r.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= F.col("_m")).select("replicate", "_k")
-    p = pairs.select("a", "b").distinct()
-    hit = p.join(drawn.withColumnRenamed("_k", "a"), "a").join(drawn.withColumnRenamed("_k", "b"), ["replicate", "b"]).groupBy("replicate").agg(F.count(F.lit(1)).alias("_n"))
-    all_ = r.select("replicate").distinct().join(hit, "replicate", "left").select("replicate", F.coalesce("_n", F.lit(0)).alias("_n"))
+    if members is None:
+        p = pairs.select("a", "b").distinct()
+        hit = p.join(drawn.withColumnRenamed("_k", "a"), "a").join(drawn.withColumnRenamed("_k", "b"), ["replicate", "b"]).groupBy("replicate").agg(F.count(F.lit(1)).alias("_n"))
+        total = p.agg(F.count(F.lit(1)).alias("pairs"))
+    else:
+        sizes = drawn.join(members, F.col("_k") == F.col("k")).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("_c"))
+        hit = pairs_of(pairs, sizes, "_c", ["replicate"]).groupBy("replicate").agg(F.sum("pairs").alias("_n"))
+        total = pairs_of(pairs, members.groupBy("place").agg(F.count(F.lit(1)).alias("_c")), "_c").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    all_ = m.select(every).join(hit, "replicate", "left").select("replicate", F.coalesce("_n", F.lit(0)).alias("_n"))
     seen = all_.where("replicate < 0").select(F.col("_n").alias("both_flagged"))
     c = all_.where("replicate >= 0").crossJoin(F.broadcast(seen)).agg(F.max("both_flagged").alias("both_flagged"), F.avg("_n").alias("expected"), ((1 + F.count(F.when(F.col("_n") >= F.col("both_flagged"), 1))) / (1 + F.count(F.lit(1)))).alias("p_value"))
-    return c.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("pairs")))).select("pairs", "both_flagged", "expected", "p_value")
+    return c.crossJoin(F.broadcast(total)).select("pairs", "both_flagged", "expected", "p_value")

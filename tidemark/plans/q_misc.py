@@ -253,7 +253,8 @@ def neighbour_permutation(spark, sf):
     from tidemark.operators.resample import neighbour_permutation as run
 
     p = _pos(spark, sf)
-    return run(G.radius_pairs(p, "k", "lat", "lon", 2000), p, "k", "flag", 99).select("pairs", "both_flagged", *r6("expected", "p_value"))
+    members, links = G.near_places(p, "k", "lat", "lon", 2000)
+    return run(links, p, "k", "flag", 99, members=members).select("pairs", "both_flagged", *r6("expected", "p_value"))
 
 
 @query("auc_difference", None)
