@@ -65,9 +65,9 @@ def curve_skill(days: DataFrame, ref: DataFrame, models: DataFrame, visits: Data
 
 def season_factor(df: DataFrame, season: Column, deviation: str, scale: str, least: int) -> DataFrame:
     """season, n, factor: the median of |deviation| / scale by the one over all seasons (1 below `least` rows): what a season's spread is worth."""
-    d = df.withColumn("season", season).withColumn("_x", F.abs(F.col(deviation)) / F.col(scale)).where("_x is not null")
-    whole = d.agg(F.percentile("_x", F.lit(0.5)).alias("_w"))
-    g = d.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.percentile("_x", F.lit(0.5)).alias("_m")).crossJoin(F.broadcast(whole))
+    d = df.select(season.alias("season"), (F.abs(F.col(deviation)) / F.col(scale)).alias("_x")).where("_x is not null")
+    g, whole = S.large_medians(d, "season", "_x")
+    g = g.withColumnRenamed("median", "_m").crossJoin(F.broadcast(whole.select(F.col("median").alias("_w"))))
     return g.select("season", "n", F.when((F.col("n") >= least) & (F.col("_w") > 0), F.col("_m") / F.col("_w")).otherwise(1.0).alias("factor"))
 
 

@@ -172,3 +172,25 @@ def weighted_mean(x, w) -> Column:
     """Sum of x * w by sum of w, over rows where both are known."""
     both = col(x).isNotNull() & col(w).isNotNull()
     return F.try_divide(F.sum(F.when(both, col(x) * col(w))), F.sum(F.when(both, col(w))))
+
+
+def large_medians(df: DataFrame, by: str, x: str, accuracy: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(by, n, median) of few groups of any size, and one row (n, median) of all of them; rows without x are left out. The medians are exact: percentile keeps every value of a group in one
+    task, here approximate quantiles (whose rank is off by at most 1 / accuracy) only tell which values lie around the middle. Those are counted by value and all others by the side on which they lie."""
+    d = df.where(F.col(x).isNotNull()).select(F.col(by).alias("_g"), F.col(x).alias("_x"))
+    around = F.percentile_approx("_x", F.array(F.lit(0.495), F.lit(0.505)), F.lit(accuracy))
+    near, all_ = d.groupBy(F.col("_g").alias("_h")).agg(around.alias("_s")), d.agg(around.alias("_a"))
+    side = lambda r: F.when(F.col("_x") < F.col(r)[0], -1).when(F.col("_x") <= F.col(r)[1], 0).otherwise(1)
+    t = d.join(F.broadcast(near), F.col("_g").eqNullSafe(F.col("_h"))).crossJoin(F.broadcast(all_)).select("_g", "_x", side("_s").alias("_i"), side("_a").alias("_j"))
+    t = t.groupBy("_g", "_i", "_j", F.when((F.col("_i") == 0) | (F.col("_j") == 0), F.col("_x")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def middle(group: Column, side: str) -> DataFrame:
+        g = t.groupBy(group.alias("_g"), F.col(side).alias("_i"), F.when(F.col(side) == 0, F.col("_x")).alias("_x")).agg(F.sum("_n").alias("_n"))
+        w = Window.partitionBy("_g")
+        g = g.withColumn("_c", F.sum("_n").over(w.orderBy("_i", "_x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_n").over(w))
+        value = F.when(F.col("_i") != 0, F.raise_error(F.lit("the middle lies beyond its approximate quantiles")).cast("double")).otherwise(F.col("_x"))
+        at = lambda rank: F.max(F.when((F.col("_c") - F.col("_n") <= rank) & (rank < F.col("_c")), value))
+        g = g.groupBy("_g").agg(F.max("_t").alias("n"), at(F.floor((F.col("_t") - 1) / 2)).alias("_l"), at(F.floor(F.col("_t") / 2)).alias("_u"))
+        return g.select(F.col("_g").alias(by), "n", F.when(F.col("_l") == F.col("_u"), F.col("_l")).otherwise(F.col("_l") * 0.5 + F.col("_u") * 0.5).alias("median"))
+
+    return middle(F.col("_g"), "_i"), middle(F.lit(0), "_j").select("n", "median")
